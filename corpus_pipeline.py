@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import exact, packing, simhash
+from tideline.llm import exact, packing, quality, simhash
 from tideline.llm.queries import BYTE_BPE, END
-from tideline.llm.shared import written
+from tideline.llm.shared import table, written
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +25,7 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, BYTE_BPE, END, 1024), 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("best_fit_packing", best_fit)]
+STAGES = [("quality_classifier", quality_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("best_fit_packing", best_fit)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 Documents become pieces of at most ``capacity`` tokens; only longer ones are cut, their first piece is the odd one. Full
 pieces are sequences of their own. The others are dealt at random into shards of a bounded number of pieces.
-Each shard is evolved on a few islands, a task each. An individual is a set of bins; its fitness is the mean squared
-fill, so few, full bins win. Crossover injects whole well-filled bins of one parent into the other, bins that hold a piece
-twice are taken out, and their other pieces are put in again by best fit, after swaps that fill bins further. After an epoch the
-best of each island migrates to the next island of its shard. The bins that the best individual of a shard leaves
-short of full are opened again, and their pieces are dealt anew into fewer shards, until one shard is left.
+Each shard is evolved on a few islands, a task each. An individual is a set of bins; its fitness is the number of bins, then the mean
+squared fill. Crossover injects whole well-filled bins of one parent into the other, takes out the bins that hold a piece twice and
+some short ones, and puts their other pieces in again: where they fill a bin to the last token first, then by best fit. After an epoch the
+best of each island migrates to the next island of its shard. The bins that the best individual of a shard leaves far from
+full are opened again, and their pieces are dealt anew into fewer shards, until one shard is left.
 Every step is a table in the shared folder; nothing is gathered on the driver.
 """
 
@@ -24,9 +24,9 @@ from tideline.llm.shared import written
 from tideline.llm.tokens import encoder
 
 #: Pieces of a shard at most (about), islands of a shard, individuals of an island, children of an epoch, and epochs.
-SHARD, ISLANDS, PEOPLE, CHILDREN, EPOCHS = 2048, 2, 4, 8, 2
-#: Tokens a bin may lack and still be kept when a shard's short bins are opened again.
-LACK = 0
+SHARD, ISLANDS, PEOPLE, CHILDREN, EPOCHS = 16_384, 2, 5, 10, 2
+#: Tokens a bin may lack and still be kept when a shard's short bins are opened again, and how often they are at most.
+LACK, TURNS = 128, 6
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,110 +50,173 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = 1024, id_col
     return made.withColumn("uid", F.monotonically_increasing_id())
 
 
-class Bins:
-    """Best-fit over open bins kept by the room they have left."""
-
-    def __init__(self, lengths: np.ndarray, capacity: int):
-        self.lengths, self.capacity = lengths, capacity
-
-    def fill(self, members: list[int]) -> int:
-        return int(self.lengths[members].sum())
-
-    def best_fit(self, bins: list[list[int]], rest: list[int]) -> list[list[int]]:
-        """Puts pieces into the bins, each where it leaves the least room; a new bin where none fits."""
-        size = self.lengths
-        room = [self.capacity - self.fill(b) for b in bins]
-        open_ = sorted((r, i) for i, r in enumerate(room) if r)
-        for x in rest:
-            n = int(size[x])
-            at = bisect_left(open_, (n, -1))
-            if at < len(open_):
-                r, i = open_.pop(at)
-                bins[i].append(x)
-            else:
-                r, i = self.capacity, len(bins)
-                bins.append([x])
-            if r - n:
-                insort(open_, (r - n, i))
-        return bins
-
-    def pairs_first(self, bins: list[list[int]], rest: list[int]) -> list[list[int]]:
-        """As best_fit, but a bin that one or two of the pieces would fill to the last token gets these first."""
-        size = self.lengths
-        by: dict[int, list[int]] = {}
-        for x in rest:
-            by.setdefault(int(size[x]), []).append(x)
-        for b in sorted(bins, key=self.fill):
-            gap = self.capacity - self.fill(b)
-            if not gap:
-                continue
-            if by.get(gap):
-                b.append(by[gap].pop())
-                continue
-            for n in list(by):
-                if 2 * n <= gap and by[n] and by.get(gap - n) and (2 * n < gap or len(by[n]) > 1):
-                    b += [by[n].pop(), by[gap - n].pop()]
+class Room:
+    """Open bins by the room they have left, and loose pieces by length: both are taken from in a step that doesn't grow with their number."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int, assigned: np.ndarray, loads: list[int], loose: np.ndarray):
+        self.size, self.capacity, self.assigned, self.loads = lengths.tolist(), capacity, assigned, loads
+        self.rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.present: list[int] = []  # rooms that there are, in order
+        self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for x in loose.tolist():
+            self.stacks[self.size[x]].append(x)
+        self.count = np.bincount(lengths[loose], minlength=capacity + 1)
+        for b, load in enumerate(loads):
+            self._open(b, capacity - load)
+
+    def _open(self, b: int, room: int) -> None:
+        if room:
+            if not self.rooms[room]:
+                insort(self.present, room)
+            self.rooms[room].append(b)
+
+    def _close(self, room: int) -> int:
+        b = self.rooms[room].pop()
+        if not self.rooms[room]:
+            self.present.pop(bisect_left(self.present, room))
+        return b
+
+    def _put(self, length: int, b: int) -> None:
+        self.assigned[self.stacks[length].pop()] = b
+        self.count[length] -= 1
+        self.loads[b] += length
+
+    def _exact(self, gap: int) -> tuple[int, ...]:
+        """One or two loose lengths that fill a gap, the most even pair, so that short pieces last; none if there are none."""
+        if self.count[gap]:
+            return (gap,)
+        there = self.count[1 : gap // 2 + 1] > 0
+        found = np.flatnonzero(there & (self.count[gap - 1 : gap - 1 - len(there) : -1] > 0)) if len(there) else there
+        for x in (found[::-1] + 1).tolist():
+            if 2 * x < gap or self.count[x] > 1:
+                return (gap - x, x)
+        return ()
+
+    def fill(self, exact: bool = True) -> None:
+        """Puts all loose pieces in: if wanted, what fills open bins exactly goes there first; the rest, longest first, by best fit, new bins (if wanted) being filled exactly at once."""
+        for room in list(self.present) if exact else ():
+            for _ in range(len(self.rooms[room])):
+                found = self._exact(room)
+                if not found:
                     break
-        return self.best_fit(bins, sorted((x for xs in by.values() for x in xs), key=lambda x: -size[x]))
-
-    def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
-        """Fewer bins first, then the mean squared fill."""
-        return -len(bins), float(np.mean([(self.fill(b) / self.capacity) ** 2 for b in bins])) if bins else 1.0
-
-    def cross(self, one: list[list[int]], two: list[list[int]], rng: np.random.Generator) -> list[list[int]]:
-        """A child: well-filled bins of two are injected into one; bins of one that hold a piece of theirs go, and their other pieces are put in again."""
-        full = sorted(two, key=self.fill, reverse=True)
-        take = full[: max(1, int(len(full) * rng.uniform(0.2, 0.8)))]
-        given = np.zeros(len(self.lengths), bool)
-        for b in take:
-            given[b] = True
-        child, loose = [list(b) for b in take], []
-        for b in one:
-            if given[b].any():
-                loose += [x for x in b if not given[x]]
-            else:
-                child.append(list(b))
-        # a mutation: the emptiest bins are opened as well
-        child.sort(key=self.fill, reverse=True)
-        for _ in range(min(len(child), 1 + int(rng.integers(0, 1 + len(child) // 20)))):
-            loose += child.pop()
-        loose.sort(key=lambda x: -self.lengths[x])
-        return self.pairs_first(child, loose)
-
-
-def evolve(lengths: np.ndarray, capacity: int, seed: int, people: list[list[list[int]]], children: int = CHILDREN, size: int = PEOPLE) -> list[list[list[int]]]:
-    """An epoch of an island: its people, best first. Given people (bins of indexes) live on; the rest start by best fit in falling order, one in plain order and others with some noise."""
-    rng, bins = np.random.default_rng(seed), Bins(lengths, capacity)
-    people = [[list(b) for b in p] for p in people]
+                b = self._close(room)
+                for n in found:
+                    self._put(n, b)
+        for n in range(self.capacity, 0, -1):
+            while self.count[n]:
+                at = bisect_left(self.present, n)
+                if at < len(self.present):
+                    room = self.present[at]
+                    b = self._close(room)
+                else:
+                    room, b = self.capacity, len(self.loads)
+                    self.loads.append(0)
+                self._put(n, b)
+                room -= n
+                for m in self._exact(room) if exact and room and room + n == self.capacity else ():
+                    self._put(m, b)
+                    room -= m
+                self._open(b, room)
+
+
+def best_fit(lengths: np.ndarray, capacity: int, exact: bool = False) -> np.ndarray:
+    """Bins by piece: best fit in falling order, with exact filling of new bins if wanted."""
+    assigned = np.full(len(lengths), -1, np.int64)
+    Room(lengths, capacity, assigned, [], np.arange(len(lengths))).fill(exact)
+    return assigned
+
+
+def fitness(assigned: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int, float]:
+    """Fewer bins first, then the mean squared fill."""
+    loads = np.bincount(assigned, lengths)
+    return -len(loads), float(np.mean((loads / capacity) ** 2))
+
+
+def cross(one: np.ndarray, two: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """A child: well-filled bins of two are injected into one. Bins of one that hold a piece of theirs are taken out, with some bins that aren't full; their other pieces are put in again."""
+    loads1, loads2 = np.bincount(one, lengths), np.bincount(two, lengths)
+    best = np.argsort(-loads2 + rng.random(len(loads2)), kind="stable")
+    take = np.zeros(len(loads2), bool)
+    take[best[: max(1, int(len(best) * rng.uniform(0.1, 0.5)))]] = True
+    given = take[two]
+    gone = np.zeros(len(loads1), bool)
+    gone[one[given]] = True
+    short = np.flatnonzero((loads1 < capacity) & ~gone)
+    gone[short[rng.random(len(short)) < rng.uniform(0.3, 1.0)]] = True
+    whole = np.flatnonzero(~gone)
+    gone[rng.choice(whole, len(whole) // 20, replace=False)] = True
+    stay = ~given & ~gone[one]
+    child = np.full(len(one), -1, np.int64)
+    number = np.cumsum(take) - 1
+    child[given] = number[two[given]]
+    kept = np.cumsum(~gone) - 1 + take.sum()
+    child[stay] = kept[one[stay]]
+    loads = np.r_[loads2[take], loads1[~gone]].astype(np.int64).tolist()
+    Room(lengths, capacity, child, loads, np.flatnonzero(child < 0)).fill()
+    return child
+
+
+def evolve(lengths: np.ndarray, capacity: int, seed: int, people: list[np.ndarray], children: int = CHILDREN, size: int = PEOPLE) -> list[np.ndarray]:
+    """An epoch of an island: its people, best first. Given people live on; else two start by best fit, without and with exact filling, and others from the best with a third of its bins opened.
+
+    Ends early at the least number of bins that the sum of lengths allows.
+    """
+    rng = np.random.default_rng(seed)
+    rank = lambda p: fitness(p, lengths, capacity)
     least = -(-int(lengths.sum()) // capacity)
-    while len(people) < size:
-        noise = rng.uniform(0, 0.02 * len(people) * capacity, len(lengths)) if people else 0
-        people.append(bins.best_fit([], np.argsort(-(lengths + noise), kind="stable").tolist()))
-        if len(people[-1]) == least:
-            break
-    people.sort(key=bins.fitness, reverse=True)
+    people = [p.copy() for p in people] or [best_fit(lengths, capacity), best_fit(lengths, capacity, exact=True)]
+    people.sort(key=rank, reverse=True)
+    while len(people) < size and -rank(people[0])[0] > least:
+        p = people[0]
+        gone = rng.random(int(p.max()) + 1) < 1 / 3
+        child = np.where(gone[p], -1, (np.cumsum(~gone) - 1)[p])
+        loads = np.bincount(p, lengths)[~gone].astype(np.int64).tolist()
+        Room(lengths, capacity, child, loads, np.flatnonzero(child < 0)).fill()
+        people.append(child)
+    people.sort(key=rank, reverse=True)
     for _ in range(children):
-        if len(people[0]) <= least or len(people) < 2:
+        if -rank(people[0])[0] <= least or len(people) < 2:
             break
         i, j = sorted(rng.choice(len(people), 2, replace=False).tolist())
-        people.append(bins.cross(people[j], people[i], rng))
-        people.sort(key=bins.fitness, reverse=True)
+        people.append(cross(people[j], people[i], lengths, capacity, rng))
+        people.sort(key=rank, reverse=True)
         people.pop()
     return people
 
 
-def _assigned(people: list[list[list[int]]], n: int) -> np.ndarray:
-    """People as rows of bin numbers by piece."""
-    out = np.zeros((len(people), n), np.int64)
-    for row, p in zip(out, people, strict=True):
-        for k, b in enumerate(p):
-            row[b] = k
-    return out
+#: A shard's state on its way between tasks: pieces, lengths and one individual's bins, as raw int64.
+STATE = pa.schema([("shard", pa.int64()), ("island", pa.int64()), ("uid", pa.binary()), ("length", pa.binary()), ("person", pa.binary())])
+
+
+def _raw(x: np.ndarray) -> bytes:
+    return x.astype(np.int64).tobytes()
+
+
+def _of(raw: bytes | None) -> np.ndarray:
+    return np.frombuffer(raw or b"", np.int64)
+
 
+def _start(held: pa.Table) -> pa.Table:
+    """A shard's pieces in the order of uid, so that a task done again does the same."""
+    uid, length = held.column("uid").to_numpy(), held.column("length").to_numpy()
+    order = np.argsort(uid, kind="stable")
+    return pa.table({"shard": [held.column("shard")[0].as_py()], "island": [0], "uid": [_raw(uid[order])], "length": [_raw(length[order])], "person": [b""]}, schema=STATE)
 
-def _bins(row: np.ndarray) -> list[list[int]]:
-    order = np.argsort(row, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(row[order])) + 1)]
+
+def _final(held: pa.Table, capacity: int, lack: int) -> pa.Table:
+    """The best individual's pieces with their bins; bins that lack more than ``lack`` are opened."""
+    rows = held.select(["uid", "length", "person"]).to_pylist()
+    uid, length = _of(rows[0]["uid"]), _of(rows[0]["length"])
+    best = max((_of(p) for p in {r["person"] for r in rows}), key=lambda p: (fitness(p, length, capacity), p.tobytes()))
+    loads = np.bincount(best, length).astype(np.int64)
+    name = np.full(len(loads), np.iinfo(np.int64).max)
+    np.minimum.at(name, best, uid)
+    order = np.lexsort((uid, best))
+    ends = np.cumsum(length[order])
+    offset = np.empty(len(uid), np.int64)
+    offset[order] = ends - length[order] - (np.cumsum(loads) - loads)[best[order]]
+    short = (loads + lack < capacity)[best]
+    return pa.table({"uid": uid, "length": length, "sequence_id": pa.array(2 * name[best] + 1, mask=short), "offset": pa.array(offset, mask=short)})
 
 
 def pack(items: DataFrame, capacity: int = 1024, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -163,62 +226,39 @@ def pack(items: DataFrame, capacity: int = 1024, shard: int = SHARD, islands: in
     done = [full]
     rest = items.where(F.col("length") < capacity).select("uid", "length")
     count, turn = rest.count(), 0
-    fields = "shard long, island long, uid array<long>, length array<long>, person array<long>"
-    while count:
-        shards = -(-count // shard)
-        last = shards == 1 or turn == 6
+    fields = "shard long, island long, uid binary, length binary, person binary"
 
-        def start(held: pa.Table) -> pa.Table:
-            # the pieces of a shard in the order of uid, so that a task done again does the same
-            order = np.argsort(held.column("uid").to_numpy(), kind="stable")
-            return pa.table({"shard": [held.column("shard")[0].as_py()], "uid": [held.column("uid").to_numpy()[order]], "length": [held.column("length").to_numpy()[order]]}, schema=pa.schema([("shard", pa.int64()), ("uid", pa.list_(pa.int64())), ("length", pa.list_(pa.int64()))]))
+    def epoch(salt: int):
+        def run(held: pa.Table) -> pa.Table:
+            rows = held.select(["shard", "island", "uid", "length", "person"]).to_pylist()
+            head = rows[0]
+            people = [_of(p) for p in sorted({r["person"] for r in rows if r["person"]})]
+            people = evolve(_of(head["length"]), capacity, (head["shard"] * 131 + head["island"]) * 17 + salt, people)
+            n = len(people)
+            return pa.table({"shard": [head["shard"]] * n, "island": [head["island"]] * n, "uid": [head["uid"]] * n, "length": [head["length"]] * n, "person": [_raw(p) for p in people]}, schema=STATE)
 
-        def epoch(salt: int):
-            return lambda held: one_epoch(held, salt)
+        return run
 
-        def one_epoch(held: pa.Table, salt: int) -> pa.Table:
-            rows = sorted(held.select(["shard", "island", "uid", "length", "person"]).to_pylist(), key=lambda r: r["person"] or [])
-            head = rows[0]
-            lengths = np.array(head["length"], np.int64)
-            given = [_bins(np.array(p, np.int64)) for p in dict.fromkeys(tuple(r["person"]) for r in rows if r["person"])]
-            people = _assigned(evolve(lengths, capacity, (head["shard"] * 131 + head["island"]) * 17 + salt, given), len(lengths))
-            return pa.table({"shard": [head["shard"]] * len(people), "island": [head["island"]] * len(people), "uid": [head["uid"]] * len(people), "length": [head["length"]] * len(people), "person": people.tolist()}, schema=pa.schema([("shard", pa.int64()), ("island", pa.int64()), *((k, pa.list_(pa.int64())) for k in ("uid", "length", "person"))]))
-
-        def final(held: pa.Table) -> pa.Table:
-            best, lengths = None, None
-            for r in held.select(["uid", "length", "person"]).to_pylist():
-                bins = _bins(np.array(r["person"], np.int64))
-                fit = Bins(np.array(r["length"], np.int64), capacity).fitness(bins)
-                if best is None or (fit, r["person"]) > best[:2]:
-                    best = fit, r["person"], bins, r["uid"]
-                    lengths = r["length"]
-            out: dict[str, list] = {"uid": [], "length": [], "sequence_id": [], "offset": []}
-            uid = best[3]
-            for b in best[2]:
-                short = sum(lengths[x] for x in b) + LACK < capacity and not last
-                name, at = 2 * min(uid[x] for x in b) + 1, 0
-                for x in b:
-                    for k, value in (("uid", uid[x]), ("length", lengths[x]), ("sequence_id", None if short else name), ("offset", None if short else at)):
-                        out[k].append(value)
-                    at += lengths[x]
-            return pa.table(out, schema=pa.schema([(k, pa.int64()) for k in out]))
+    def closing(lack: int):
+        return lambda held: _final(held, capacity, lack)
 
+    while count:
+        shards = -(-count // shard)
+        last = shards == 1 or turn == TURNS
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(shards)))
-        state = dealt.groupBy("shard").applyInArrow(start, "shard long, uid array<long>, length array<long>")
-        state = state.withColumn("island", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(islands - 1).cast("long")))).withColumn("person", F.lit(None).cast("array<long>"))
+        state = dealt.groupBy("shard").applyInArrow(_start, fields)
+        state = state.withColumn("island", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(islands - 1).cast("long"))))
         for e in range(epochs):
             state = written(state.groupBy("shard", "island").applyInArrow(epoch(e * 7 + turn), fields), "people")
             if e < epochs - 1:
-                # the best of each island also goes to the next island of its shard
-                elite = F.expr("struct(-array_max(person) as bins, person)")
-                best = state.groupBy("shard", "island").agg(F.max_by(F.struct("uid", "length", "person"), elite).alias("x")).select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "x.*")
-                state = state.unionByName(best)
-        packed = written(state.groupBy("shard").applyInArrow(final, "uid long, length long, sequence_id long, offset long"), "packed")
+                # the first of an island is its best: it also goes to the next island of its shard
+                first = state.groupBy("shard", "island").agg(F.first(F.struct("uid", "length", "person")).alias("x"))
+                state = state.unionByName(first.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), "x.*"))
+        lack = capacity if last else LACK
+        packed = written(state.groupBy("shard").applyInArrow(closing(lack), "uid long, length long, sequence_id long, offset long"), "packed")
         done.append(packed.where("sequence_id is not null").select("uid", "sequence_id", "offset"))
         rest = packed.where("sequence_id is null").select("uid", "length")
-        left = rest.count()
-        turn = 6 if left > 0.9 * count else turn + 1
-        count = left
+        count, turn = (0 if last else rest.count()), turn + 1
     where = done[0]
     for d in done[1:]:
         where = where.union(d)

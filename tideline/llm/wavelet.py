@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.shared import shared_dir
+from tideline.llm.shared import BROADCAST_ROWS, shared_dir
 from tideline.llm.tokens import encoder
 
 MAGIC, BLOCK = b"TWM1", 8  # words of 64 bits between two counts
@@ -196,7 +196,8 @@ def read(spark, out: str) -> DataFrame:
     # One row a part, as many as there were tasks: the only step over all of them
     parts = counts.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")
     starts = counts.withColumn("inner", F.sum("n_tokens").over(within) - F.col("n_tokens")).join(parts, "part").select("part", "shard", (F.col("base") + F.col("inner")).alias("before"))
-    return held.join(starts, ["part", "shard"])
+    # one row a shard; the number is checked, so that files aren't shuffled where few are broadcast
+    return held.join(F.broadcast(starts) if counts.count() <= BROADCAST_ROWS else starts, ["part", "shard"])
 
 
 def documents(held: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.shared import slices
 
-#: Characters per slice, words kept by their encodings, and pairs whose verdict is kept: they bound memory only.
-SLICE_CHARS, WORDS_KEPT, PAIRS_KEPT = 2_000_000, 400_000, 600_000
+#: Characters per slice, stretches between white space and words that are kept with their encodings, and pairs whose verdict is kept: they bound memory only.
+SLICE_CHARS, CHUNKS_KEPT, WORDS_KEPT, PAIRS_KEPT = 2_000_000, 300_000, 500_000, 500_000
 #: White space by the Unicode property, which the vocabulary's splitter goes by; Python's own has \x1c to \x1f too.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -97,6 +97,7 @@ class TrieBPE:
                 spine[i] = out
         self.beside: dict[int, bool] = {}
         self.words: dict[str, tuple[str, str]] = {}
+        self.known: dict[str, tuple[str, str]] = {}  # by stretch between white space
         letter, number = letters_and_numbers()
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{BLANK}{letter}{number}]+")
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -159,26 +160,36 @@ class TrieBPE:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Keeps the ids and tokens of chunks, texts without white space."""
-        pieces = {}
+        """Keeps the ids and tokens of chunks, texts without white space; words that several chunks share are encoded once."""
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
+        pieces: dict[str, list[str]] = {}
+        words, known = self.words, self.known
+        new: set[str] = set()
         for chunk in chunks:
             text = chunk.lower()
             if not chunk.isascii():
                 text = unicodedata.normalize("NFC", chunk)
                 text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-            if text.isascii() and text.isalpha():
-                made = [text[:-1] + chr(256 + ord(text[-1]))]
+            made = self.split.findall(text)
+            if len(made) == 1 and made[0] in words:
+                known[chunk] = words[made[0]]
             else:
-                made = []
-                for piece in self.split.findall(text):
-                    raw = piece.encode().decode("latin-1")
-                    made.append(raw[:-1] + chr(256 + ord(raw[-1])))
-            pieces[chunk] = made
-        known = self.encode_words({p for made in pieces.values() for p in made})
+                pieces[chunk] = made
+                new.update(made)
+        forms = {}
+        for word in new - words.keys():
+            raw = word.encode().decode("latin-1")
+            forms[raw[:-1] + chr(256 + ord(raw[-1]))] = word
         tokens = self.tokens
+        for form, ids in self.encode_words(forms).items():
+            words[forms[form]] = (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
         for chunk, made in pieces.items():
-            found = [i for p in made for i in known[p]]
-            self.words[chunk] = (" ".join(map(str, found)), " ".join([tokens[i] for i in found]))
+            if len(made) == 1:
+                known[chunk] = words[made[0]]
+            else:
+                a, b = zip(*[words[w] for w in made], strict=True)
+                known[chunk] = (" ".join(a), " ".join(b))
 
     def chunks(self, text: str) -> list[str]:
         if self.odd.search(text):
@@ -195,16 +206,16 @@ class TrieBPE:
                 else:
                     parts.append([(text or "", False)])
             split = [[x if mark else self.chunks(x) for x, mark in part] for part in parts]
-            if len(self.words) > WORDS_KEPT:
-                self.words.clear()
+            if len(self.known) > CHUNKS_KEPT:
+                self.known.clear()
             new = set()
             for part in split:
                 for x in part:
                     if type(x) is list:
                         new.update(x)
-            new -= self.words.keys()
+            new -= self.known.keys()
             self.learn(new)
-            get = self.words.__getitem__
+            get = self.known.__getitem__
             for part in split:
                 ids, decoded = [], []
                 for x in part:

@@ -62,7 +62,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups() doesn't keep; columns and rows that stay are as they were."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("k_id"), F.col("len").alias("k_len"), F.col("prefix").alias("k_prefix"))
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(id_col, "len", "prefix")
     text = normalised(F.col(text_col))
-    meets = F.col(id_col).eqNullSafe(F.col("k_id")) & (F.char_length(text) == F.col("k_len")) & (F.xxhash64(F.substring(text, 1, PREFIX)) == F.col("k_prefix"))
-    return without(docs, gone, meets)
+    return without(docs, gone, [F.col(id_col), F.char_length(text), F.xxhash64(F.substring(text, 1, PREFIX))])

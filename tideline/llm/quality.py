@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.shared import slices
 
@@ -143,7 +144,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "y", "x"])
 
     # the sample's size bounds what is broadcast and what comes to the driver
-    joined = docs.join(F.broadcast(some), F.col(id_col) == F.col("k_id")).select(F.col(id_col).cast("string").alias("id"), "y", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = texts.join(F.broadcast(some), F.col("id") == F.col("k_id")).select(F.col("id").cast("string").alias("id"), "y", "text")
     bags = sorted((r["id"], r["y"], bytes(r["x"])) for r in joined.mapInArrow(run, "id string, y int, x binary").collect())
     y = np.array([b[1] for b in bags], np.float32)
     if not 0 < y.sum() < len(y):
@@ -153,32 +155,30 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     return fit(x, y, np.array([share[int(k)] for k in y], np.float32))
 
 
-def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, score) of every row, with the columns named in ``keep``. Null texts count as empty; without a model every score is 0.5."""
-    keep = keep or []
+def scored(docs: DataFrame, model: Model | None, columns: list[Column], text_col: str = "text") -> DataFrame:
+    """The given columns of every row, then its score as the last column. Null texts count as empty; without a model every score is 0.5."""
 
     def run(batches):
         for b in batches:
-            texts = b.column("_text").to_pylist()
+            texts = b.column(0).to_pylist()
             score = np.concatenate([model.score([describe(x) for x in part]) for part in slices(texts, 1 << 21)] or [np.empty(0)]) if model else np.full(len(texts), 0.5)
-            others = [b.column(i) for i, n in enumerate(b.schema.names) if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(score, pa.float64())], names=[*(n for n in b.schema.names if n != "_text"), "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(score, pa.float64())], names=names)
 
-    plain = docs.select(F.col(id_col), *[F.col(c) for c in keep if c != id_col], F.col(text_col).alias("_text"))
-    fields = [f for f in plain.schema.fields if f.name != "_text"]
-    out = plain.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _score double")
-    return out.withColumnRenamed("_score", "score") if "score" not in keep else out
+    # columns go by their places, whatever their names
+    plain = docs.select(F.col(text_col), *columns)
+    plain = plain.toDF(*[f"c{i}" for i in range(len(plain.columns))])
+    names = [*plain.columns[1:], "score"]
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields[1:], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **columns) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
-    out = scored(docs, learn(docs, labels, **columns))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
+    out = scored(docs, learn(docs, labels, **columns), [F.col(id_col)], text_col).toDF(id_col, "score")
+    return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **columns) -> DataFrame:
     """docs without the rows that score below the threshold; columns and rows that stay are as they were."""
-    names = docs.columns
-    out = scored(docs, learn(docs, labels), keep=names)
-    last = out.columns[-1]
-    return out.where(F.col(last) >= threshold).select(*names)
+    out = scored(docs, learn(docs, labels, **columns), [F.col(f"`{c}`") for c in docs.columns], columns.get("text_col", "text"))
+    return out.where(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

@@ -45,9 +45,17 @@ def fresh_key(name: str):
 BROADCAST_ROWS = 500_000
 
 
-def without(rows: DataFrame, keys: DataFrame, meets) -> DataFrame:
-    """rows but for those that meet one of the keys (fixed-width columns). The keys' number is checked: few are broadcast, so rows aren't shuffled."""
-    keys = written(keys, "gone")
+def without(rows: DataFrame, keys: DataFrame, on: list) -> DataFrame:
+    """rows but for those whose expressions ``on`` equal (nulls too) the columns of one of the keys, which are of fixed width.
+
+    The keys' number is checked: few are broadcast, so rows aren't shuffled. Key columns get names of their own, so no column of rows clashes.
+    """
+    names = [f"k{i}_{uuid.uuid4().hex}" for i in range(len(keys.columns))]
+    keys = written(keys.toDF(*names), "gone")
+    meets = None
+    for x, n in zip(on, names, strict=True):
+        one = x.eqNullSafe(F.col(n))
+        meets = one if meets is None else meets & one
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, meets, "left_anti")
 
 

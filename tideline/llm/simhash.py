@@ -7,6 +7,8 @@ fingerprints below share (mask and pattern). Two nodes are compared by the share
 than k, and all pairs below are cut off at once; if no two members can differ in more than k, they are linked at
 once. Nodes that are known to be of one component already are passed over, so a dense group of n isn't n squared.
 
+Fingerprints may also be wider, for similarities that 64 bits are too few to tell; then buckets are bands of bits.
+
 A bucket above TILE members is dealt into tiles by a hash, and each pair of its tiles is a task of its own: no task
 holds more, and no link is lost. Tasks emit a tree for each component they see, not its links.
 """
@@ -66,11 +68,17 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def ones(x: np.ndarray) -> np.ndarray:
+    """Set bits of each fingerprint, of one word or of a row of words."""
+    return np.bitwise_count(x) if x.ndim == 1 else np.bitwise_count(x).sum(1, dtype=np.int32)
+
+
 class GrayIndex:
-    """The hierarchy over fingerprints with bucket keys; keys of different buckets are never compared."""
+    """The hierarchy over fingerprints (of one word of 64 bits, or rows of words) with bucket keys; keys of different buckets are never compared."""
 
     def __init__(self, fp: np.ndarray, key: np.ndarray):
-        self.order = np.lexsort((gray_rank(fp), key))
+        ranks = [gray_rank(fp)] if fp.ndim == 1 else [gray_rank(fp[:, i]) for i in range(min(2, fp.shape[1]) - 1, -1, -1)]
+        self.order = np.lexsort((*ranks, key))
         fp, key = fp[self.order], key[self.order]
         # by level, from single fingerprints up: bits set in all, in any; smallest and largest key
         self.levels = [(fp, fp, key, key)]
@@ -110,12 +118,12 @@ class GrayIndex:
             a, b = a[keep], b[keep]
             differ = every[a] ^ every[b]
             shared = ~(every[a] ^ some[a]) & ~(every[b] ^ some[b])
-            keep = np.bitwise_count(differ & shared) <= k
+            keep = ones(differ & shared) <= k
             a, b, differ, shared = a[keep], b[keep], differ[keep], shared[keep]
             if level == 0:
                 self._link(a, b)
                 return
-            close = (np.bitwise_count(~shared | differ) <= k) & (low[a] == high[b])
+            close = (ones(~shared | differ) <= k) & (low[a] == high[b])
             if close.any():
                 size = 1 << level
                 n = len(self.label)
@@ -156,27 +164,33 @@ def blocks(bits: int) -> list[tuple[int, int]]:
 def links(distinct: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     """(u, v): edges between fingerprints (column fp) whose components are those of all links of at most ``bits`` differing bits."""
     keys = F.array(*[F.expr(f"shiftrightunsigned(fp, {at}) & {(1 << w) - 1}L | {i}L << 48") for i, (at, w) in enumerate(blocks(bits))])
-    routed = distinct.select("fp", F.explode(keys).alias("bucket"))
-    # buckets over a tile's size are at most a few in a hundred of the rows' number over tile; others are dealt by their key
+    routed = distinct.select(F.col("fp").alias("node"), F.explode(keys).alias("bucket"))
+    return tree_links(routed, lambda held: held.column("node").to_numpy().view(np.uint64), bits, distinct.count() * (bits + 1), tile)
+
+
+def tree_links(routed: DataFrame, codes, bits: int, rows: int, tile: int = TILE) -> DataFrame:
+    """(u, v): trees that join the nodes of routed(node, bucket, ...) which links of at most ``bits`` differing bits join within buckets.
+
+    codes(table) gives the fingerprints of a task's rows. Buckets over a tile's size are dealt into tiles, and each pair of tiles is a task.
+    """
+    # at most rows / tile buckets are so large; others are dealt by their key
     large = routed.groupBy("bucket").count().where(F.col("count") > tile).select(fresh_key("bucket").alias("large"), F.ceil(F.col("count") / tile).cast("int").alias("g"))
     large = written(large, "large")
-    spread = routed.join(large, F.col("bucket") == F.col("large"), "left")
-    spread = spread.withColumn("mine", F.expr("cast(pmod(xxhash64(fp), g) as int)"))
+    spread = routed.join(large, F.col("bucket") == F.col("large"), "left").drop("large")
+    spread = spread.withColumn("mine", F.expr("cast(pmod(xxhash64(node), g) as int)"))
     other = F.when(F.col("g").isNull(), F.array(F.lit(-1))).otherwise(F.expr("filter(sequence(0, g - 1), j -> j <> mine)"))
-    tasks = spread.select("fp", "bucket", "g", F.explode(other).alias("other"), "mine")
-    # small buckets share tasks of about a tile's rows
-    shares = max(1, -(-distinct.count() * (bits + 1) // (4 * tile)))
+    tasks = spread.withColumn("other", F.explode(other))
+    # small buckets share tasks of a few tiles' rows
+    shares = max(1, -(-rows // (4 * tile)))
     task = F.when(F.col("g").isNull(), F.expr(f"pmod(xxhash64(bucket), {shares})")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
 
     def run(held: pa.Table) -> pa.Table:
-        fp = held.column("fp").to_numpy().view(np.uint64)
-        index = GrayIndex(fp, held.column("bucket").to_numpy())
-        label = index.labels(bits)
-        u, v = tree_edges(label)
-        fp = fp[index.order].view(np.int64)
-        return pa.table({"u": fp[u], "v": fp[v]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        index = GrayIndex(codes(held), held.column("bucket").to_numpy())
+        u, v = tree_edges(index.labels(bits))
+        node = held.column("node").to_numpy()[index.order]
+        return pa.table({"u": node[u], "v": node[v]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
-    return tasks.select(task.alias("task"), "fp", "bucket").groupBy("task").applyInArrow(run, "u long, v long")
+    return tasks.withColumn("task", task).drop("g", "mine", "other").groupBy("task").applyInArrow(run, "u long, v long")
 
 
 def near_groups(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
@@ -194,7 +208,92 @@ def near_groups(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "d
     return marked.join(of, marked["fp"] == of["key"]).select(id_col, "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near_groups() component, that with the smallest id; rows with a null id stay."""
-    gone = near_groups(docs, bits, words, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("k_id"))
-    return without(docs, gone, F.col(id_col) == F.col("k_id"))
+#: Words of a wide fingerprint, and the share of links at the threshold that its bands must find.
+WIDE, RECALL = 8, 0.98
+#: A bit's value by byte value and place, to count bits from counts of bytes.
+BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def wide_fingerprint(text: str | None, n: int = 5, seed: int = 42, words: int = WIDE) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits over the distinct word n-grams (fewer words: the whole sequence; none: zero)."""
+    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not split:
+        return np.zeros(words, np.uint64)
+    joined, digest = b" ".join(split), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    m = max(1, len(split) - n + 1)
+    h = np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[:m].tolist(), ends[min(n, len(split)) - 1 :].tolist(), strict=True)], np.uint64))
+    total = np.zeros((words * 8, 8), np.int64)
+    # each word's hash of a shingle is a mix of the one hash with a constant of its own
+    odd = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (1 << 64) - 1 for i in range(words)], np.uint64)
+    for at in range(0, len(h), 1 << 13):
+        x = h[at : at + (1 << 13), None] * odd
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        places = x.view(np.uint8).reshape(-1, words * 8).astype(np.int64) + np.arange(words * 8) * 256
+        total += np.bincount(places.ravel(), minlength=words * 8 * 256).reshape(-1, 256) @ BYTE_BITS
+    return np.packbits((total * 2 > len(h)).ravel(), bitorder="little").view("<u8")
+
+
+def wide_bits(similarity: float, words: int = WIDE) -> int:
+    """Differing bits up to which two texts count as so similar: what the angle of that Jaccard similarity gives on average, and one deviation, so that five in six pairs at the threshold are linked and nearly all above."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * words * p + (64 * words * p * (1 - p)) ** 0.5)
+
+
+def bands(count: int, similarity: float, words: int = WIDE) -> np.ndarray:
+    """Places of bits, a row a band: wide enough that a band's bucket holds some ten unlike texts, and so many that a pair at the threshold misses all with a chance of 1 - RECALL."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    width = int(np.clip(np.ceil(np.log2(max(2, count))) - 5, 8, 40))
+    number = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - p) ** width)))
+    rng = np.random.default_rng(7)
+    return np.array([rng.choice(64 * words, width, replace=False) for _ in range(number)])
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """(id, component_id) per row: the smallest id reachable over texts whose estimated Jaccard similarity of word shingles reaches ``similarity``.
+
+    The estimate is the share of differing bits of wide fingerprints, so pairs near the threshold fall on either side. Pairs meet in
+    buckets of bands of these bits, whose number follows the number of texts; within a bucket the Gray-order index
+    finds every pair. Nulls, repeated rows and empty tables are as in near_groups().
+    """
+
+    def mark(batches):
+        for b in batches:
+            code = [wide_fingerprint(x.as_py(), words).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary())], names=["id", "code"])
+
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = written(plain.mapInArrow(mark, f"id {plain.schema['id'].dataType.simpleString()}, code binary"), "wide")
+    distinct = marked.groupBy("code").agg(F.min("id").alias("least"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    count = distinct.count()
+    places = bands(count, similarity)
+
+    def code_rows(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
+
+    def route(batches):
+        up = 1 << np.arange(places.shape[1], dtype=np.int64)
+        for b in batches:
+            code = code_rows(b.column(1))
+            bit = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")
+            keys = np.stack([bit[:, at].astype(np.int64) @ up | i << 48 for i, at in enumerate(places)], axis=1)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(places)), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["node", "code", "keys"])
+
+    routed = distinct.select("node", "code").mapInArrow(route, "node long, code binary, keys array<long>").select("node", "code", F.explode("keys").alias("bucket"))
+    found = tree_links(routed, lambda held: code_rows(held.column("code")), wide_bits(similarity), count * len(places), tile)
+    label = components(found)
+    member = written(distinct.join(label, "node", "left").select("code", "least", F.coalesce("label", "node").alias("label")), "members")
+    named = written(member.groupBy("label").agg(F.min("least").alias("component_id")), "named").select(fresh_key("label").alias("key"), "component_id")
+    of = written(member.join(named, member["label"] == named["key"]).select("code", "component_id"), "of").select(F.concat("code", F.lit(b"")).alias("key"), "component_id")
+    return marked.join(of, marked["code"] == of["key"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each similar_groups() component, that with the smallest id; rows with a null id stay."""
+    gone = similar_groups(docs, similarity, words, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
+    return without(docs, gone, [F.col(id_col)])

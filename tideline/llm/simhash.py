@@ -209,7 +209,7 @@ def near_groups(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "d
 
 
 #: Words of a wide fingerprint, and the share of links at the threshold that its bands must find.
-WIDE, RECALL = 8, 0.98
+WIDE, RECALL = 8, 0.95
 #: A bit's value by byte value and place, to count bits from counts of bytes.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 

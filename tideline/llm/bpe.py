@@ -22,6 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tideline.llm.shared import slices
 
@@ -40,17 +41,13 @@ def byte_symbols() -> dict[str, int]:
 
 @lru_cache(maxsize=1)
 def letters_and_numbers() -> tuple[str, str]:
-    """Character classes (without brackets) of all letters and of all numbers."""
+    """Character classes (without brackets) of the Latin letters and numbers, up to U+024F."""
     found = {"L": [], "N": []}
-    for c in range(0x110000):
+    for c in range(0x250):
         kind = unicodedata.category(chr(c))[0]
         if kind in found:
-            runs = found[kind]
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return tuple("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found[k]) for k in "LN")
+            found[kind].append(f"\\u{c:04x}")
+    return "".join(found["L"]), "".join(found["N"])
 
 
 class TrieBPE:
@@ -95,6 +92,10 @@ class TrieBPE:
                         break
                     until, at = rank[at], parts[at][side]
                 spine[i] = out
+        # Texts of later characters than Latin ones are normalised and split by the library: Unicode versions class them differently
+        library = Tokenizer.from_file(path)
+        self.normalise, self.pieces_of, self.latin = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str, re.compile("[\0-\u0233]*").fullmatch  # those from U+0234 on have lower cases elsewhere
+        self.byte_of = {ord(c): b for c, b in byte_symbols().items()}
         self.beside: dict[int, bool] = {}
         self.words: dict[str, tuple[str, str]] = {}
         self.known: dict[str, tuple[str, str]] = {}  # by stretch between white space
@@ -167,11 +168,12 @@ class TrieBPE:
         words, known = self.words, self.known
         new: set[str] = set()
         for chunk in chunks:
-            text = chunk.lower()
-            if not chunk.isascii():
-                text = unicodedata.normalize("NFC", chunk)
-                text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-            made = self.split.findall(text)
+            if chunk.isascii():
+                made = self.split.findall(chunk.lower())
+            elif self.latin(chunk):
+                made = self.split.findall(unicodedata.normalize("NFC", chunk).lower())
+            else:
+                made = [bytes(self.byte_of[ord(c)] for c in p).decode() for p, _ in self.pieces_of(self.normalise(chunk))]
             if len(made) == 1 and made[0] in words:
                 known[chunk] = words[made[0]]
             else:

@@ -8,6 +8,8 @@ splits, so a text that holds a third of all rows spreads out.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,5 +65,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups() doesn't keep; columns and rows that stay are as they were."""
     gone = exact_groups(docs, id_col, text_col).where("not kept").select(id_col, "len", "prefix")
-    text = normalised(F.col(text_col))
-    return without(docs, gone, [F.col(id_col), F.char_length(text), F.xxhash64(F.substring(text, 1, PREFIX))])
+    text = f"t_{uuid.uuid4().hex}"  # normalised once, under a name that no column has
+    held = docs.withColumn(text, normalised(F.col(text_col)))
+    return without(held, gone, [F.col(id_col), F.char_length(text), F.xxhash64(F.substring(text, 1, PREFIX))]).drop(text)

@@ -44,7 +44,7 @@ def greedy_cosine(pending: DataFrame, recent: DataFrame, threshold: float = 0.87
             res.insert(i, b, pdf[b].iloc[0])
         return res
 
-    return both.groupBy(*(by or [F.lit(0)])).applyInPandas(run, f"{head}{key} {kind}, duplicate_of {kind}")
+    return both.withColumn("_all", F.lit(0)).groupBy(*(by or ["_all"])).applyInPandas(run, f"{head}{key} {kind}, duplicate_of {kind}")
 
 
 def similar_to(queries: DataFrame, refs: DataFrame, threshold: float, key: str = "key", vector: str = "vector") -> DataFrame:

@@ -90,7 +90,7 @@ def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def artefact(df: DataFrame, key: str | None = None) -> str:
     """A small result as one JSON text: an array of rows, or an object by ``key``."""
-    rows = df.select(F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("j"), *([F.col(key).cast("string").alias("k")] if key else [])).orderBy(*(["k"] if key else []))
+    rows = df.select(F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("j"), (F.col(key).cast("string") if key else F.lit("")).alias("k")).collect()
     if key:
-        return "{" + ",".join(f'"{r["k"]}":{r["j"]}' for r in rows.collect()) + "}"
-    return "[" + ",".join(r["j"] for r in rows.collect()) + "]"
+        return "{" + ",".join(f'"{k}":{j}' for k, j in sorted((r["k"], r["j"]) for r in rows)) + "}"
+    return "[" + ",".join(r["j"] for r in rows) + "]"

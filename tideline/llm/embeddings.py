@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tideline.llm.components import components, local_labels, tree_edges
 from tideline.llm.shared import fresh_key, written
 
-#: Vectors of a tile, bits of a rounded dimension, and half-widths of the confidence bound.
-TILE, QUANT, EPSILON = 1024, 4, 4.0
+#: Vectors of a tile and of a block that is compared at once, bits of a rounded dimension, and half-widths of the confidence bound.
+TILE, BLOCK, QUANT, EPSILON = 4096, 1024, 4, 4.0
 
 
 @lru_cache(maxsize=4)
@@ -94,7 +94,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     """
     v = F.col("v")
     usable = F.expr("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0)")
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
     # a key of 64 bits, told apart in the rare case of equal keys by the vector itself below
     rows = rows.withColumn("digest", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform(v, lambda x: x.cast("string"))), 256)))
@@ -112,7 +112,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         names, first, second = (held.column(x).to_pylist() for x in ("label", "first", "second"))
         node, n, lists = held.column("node").to_numpy(), held.column("n").to_numpy(), held.column("v").combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
-        flat, begins = lists.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)[:-1]]
+        flat, begins = lists.flatten().to_numpy().astype(np.float64), np.r_[0, np.cumsum(sizes)[:-1]]
         groups: dict[tuple, list[int]] = {}
         for i, (name, d) in enumerate(zip(names, sizes.tolist(), strict=True)):
             groups.setdefault((name, d), []).append(i)
@@ -122,17 +122,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
             x = x / np.abs(x).max(1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             a, b = np.flatnonzero(np.array(first)[members]), np.flatnonzero(np.array(second)[members])
-            same = len(a) == len(b) == len(members)
-            left = Codes(x[a])
-            i, j = linked(left, left if same else Codes(x[b]), threshold)
-            i, j = a[i], b[j]
-            # a tile with itself finds each pair from either side (or by chance from one: the codes differ)
-            one, two = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
-            pair = np.unique(one * len(members) + two)
-            one, two = pair // len(members), pair % len(members)
-            m = len(members)
-            more = np.bincount(one, n[members][two], m) + np.bincount(two, n[members][one], m)
-            u, v = tree_edges(local_labels(m, one, two))
+            m, same = len(members), len(a) == len(b) == len(members)
+            weight, more, label = n[members], np.zeros(len(members), np.int64), np.arange(len(members))
+            blocks = lambda at: [(p, Codes(x[p])) for p in (at[k : k + BLOCK] for k in range(0, len(at), BLOCK))]  # noqa: E731, B023
+            left = blocks(a)
+            right = left if same else blocks(b)
+            for k, (p, one) in enumerate(left):
+                for q, two in right[k:] if same else right:
+                    i, j = linked(one, two, threshold)
+                    i, j = p[i], q[j]
+                    if one is two:
+                        # a block with itself finds each pair from either side (or by chance from one: the codes differ)
+                        pair = np.unique(np.minimum(i, j)[i != j] * m + np.maximum(i, j)[i != j])
+                        i, j = pair // m, pair % m
+                    np.add.at(more, i, weight[j])
+                    np.add.at(more, j, weight[i])
+                    label = local_labels(m, i, j, label)
+            u, v = tree_edges(label)
             hit = np.flatnonzero(more)
             out["u"] += [node[members[u]], node[members[hit]]]
             out["v"] += [node[members[v]], node[members[hit]]]

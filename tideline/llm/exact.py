@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.shared import fresh_key, without, written
+from tideline.llm.shared import matched, without, written
 
 #: Characters whose hash refines a group of equal lengths.
 PREFIX = 128
@@ -40,20 +40,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else the content of surviving rows is read again. Extra columns are ignored; an empty table gives an empty one.
     """
     sig = written(signatures(docs, id_col, text_col, digest), "signatures")
-    by_len = sig.groupBy("len").count().where("count > 1").select(F.expr("len + 0").alias("k_len"))
-    by_prefix = sig.join(by_len, F.col("len") == F.col("k_len"), "left_semi").groupBy("len", "prefix").count().where("count > 1")
-    alive = written(by_prefix.select(F.expr("len + 0").alias("k_len"), fresh_key("prefix").alias("k_prefix")), "alive")
-    meets = (F.col("len") == F.col("k_len")) & (F.col("prefix") == F.col("k_prefix"))
-    if digest:
-        left = sig.join(alive, meets, "left_semi")
-    else:
-        left = signatures(docs, id_col, text_col, True).join(alive, meets, "left_semi")
+    # lengths are at most as many as the longest text has characters, so the first filter is always a broadcast in practice
+    by_len = sig.groupBy("len").count().where("count > 1").select("len")
+    by_prefix = matched(sig, by_len, [F.col("len")], "left_semi").groupBy("len", "prefix").count().where("count > 1")
+    alive, on = written(by_prefix.select("len", "prefix"), "alive"), [F.col("len"), F.col("prefix")]
+    left = matched(sig if digest else signatures(docs, id_col, text_col, True), alive, on, "left_semi")
+    if not digest:
+        left = written(left, "left")
     groups = left.groupBy("full").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = written(groups, "groups").select(F.concat("full", F.lit("")).alias("k_full"), "keep_id", "group_size")
     if digest:
         out = sig.join(groups, F.col("full") == F.col("k_full"), "left")
     else:
-        alone = sig.join(alive, meets, "left_anti")
+        alone = matched(sig, alive, on, "left_anti")
         out = left.join(groups, F.col("full") == F.col("k_full"), "left").select("id", "len", "prefix", "keep_id", "group_size")
         out = out.unionByName(alone, allowMissingColumns=True)
     size = F.coalesce("group_size", F.lit(1)).cast("long")

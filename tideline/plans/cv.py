@@ -16,19 +16,19 @@ EMBARGO = "interval 22 days"
 def groups(events: DataFrame, n: int, t0: str = "t0", key: str = "id") -> DataFrame:
     """Adds fold, 0 to n - 1: contiguous and as even as can be in order of t0.
 
-    Ranks come from counts of distinct times, so that no task sorts all events: only one row a time meets in the last window.
+    Ranks are counts of the days before plus ranks within a day, so no task sorts all events: one row a day meets in the only window over all.
     """
-    times = events.groupBy(t0).agg(F.count("*").alias("_k"))
-    before = F.sum("_k").over(Window.orderBy(t0).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
-    total = F.sum("_k").over(Window.partitionBy())
-    starts = times.select(F.col(t0).alias("_t"), before.alias("_before"), total.alias("_n"))
-    at = F.row_number().over(Window.partitionBy(t0).orderBy(key)) - 1
-    placed = events.withColumn("_at", at).join(starts, F.col(t0) == F.col("_t")).withColumn("_rank", F.col("_before") + F.col("_at"))
+    dated = events.withColumn("_day", F.to_date(t0))
+    days = dated.groupBy("_day").agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")
+    starts = days.select(F.col("_day").alias("_d"), before.alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
+    at = F.row_number().over(Window.partitionBy("_day").orderBy(t0, key)) - 1
+    placed = dated.withColumn("_at", at).join(starts, F.col("_day").eqNullSafe(F.col("_d"))).withColumn("_rank", F.col("_before") + F.col("_at"))
     # the first (total mod n) folds hold one event more
     small, more = F.expr(f"_n div {n}"), F.col("_n") % n
     edge = more * (small + 1)
     fold = F.when(F.col("_rank") < edge, F.floor(F.col("_rank") / (small + 1))).otherwise(more + F.floor((F.col("_rank") - edge) / F.greatest(small, F.lit(1))))
-    return placed.withColumn("fold", fold.cast("int")).drop("_at", "_t", "_before", "_n", "_rank")
+    return placed.withColumn("fold", fold.cast("int")).drop("_at", "_day", "_d", "_before", "_n", "_rank")
 
 
 def envelopes(folded: DataFrame, t0: str = "t0", t1: str = "t1") -> DataFrame:

@@ -241,3 +241,30 @@ def scores(payload: Column, events: Sequence[str]) -> Column:
     s = F.from_json(payload, SCORE)
     whole = s["assets"].isNotNull() & s["is_price_report"].isNotNull() & s["sentiment"].between(-1, 1) & s["confidence"].between(0, 1) & s["severity"].between(1, 5) & s["event_type"].isin(*events)
     return F.when(whole, s)
+
+
+def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): lines of text files inside zip archives, one task an archive; undecodable bytes are replaced."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(frames):
+        for pdf in frames:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in z.namelist():
+                        lines = z.read(member).decode("utf-8", "replace").splitlines()
+                        yield pd.DataFrame({"path": [name] * len(lines), "value": lines})
+
+    return files.mapInPandas(run, "path string, value string")
+
+
+def whole_days(files: DataFrame, expected: int = 96, day: str = "day", state: str = "state") -> DataFrame:
+    """Days all of whose source files came, or are known holes (state ok or missing): any other failure leaves a day pending."""
+    counts = files.groupBy(day).agg(F.count("*").alias("n"), F.count_if(F.col(state).isin("ok", "missing")).alias("good"))
+    return counts.where((F.col("n") == expected) & (F.col("good") == expected)).select(day)
+
+
+def rates_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(day, percent) of a two-column CSV with a header and dots for missing values."""
+    raw = spark.read.schema("day string, percent string").option("header", "true").option("enforceSchema", "true").csv(path)
+    return raw.select(F.expr("try_cast(day as date)").alias("day"), F.expr("try_cast(percent as double)").alias("percent")).where("day is not null")

@@ -63,13 +63,12 @@ def price_features(daily: DataFrame, by: Sequence[str] = ("asset",), order: str
     """Adds the price block: momentum, RSI, MACD, bands, trend, range, volatility and volume features, and vol_ewma_21d."""
     w = W.series(by, order)
     c, h, lo, v = (F.col(x) for x in ("close", "high", "low", "volume"))
-    out = ewma_vol(daily, (5, 21, 63), by, order)
-    diff = c - F.lag(c).over(w)
-    out = out.withColumn("_d", diff)
+    out = daily.withColumns({"_r": W.logret(c, 1, w), "_d": c - F.lag(c).over(w)})
     means = {f"_g{n}": (W.clip_low(F.col("_d"), 0.0), 1 / n) for n in (7, 14, 30)}
     means |= {f"_s{n}": (W.clip_low(-F.col("_d"), 0.0), 1 / n) for n in (7, 14, 30)}
     means |= {"_m12": (c, W.alpha_of(span=12)), "_m26": (c, W.alpha_of(span=26))}
-    out = W.ewm(out, means, by, order)
+    means |= {f"_e{n}": (F.col("_r") * F.col("_r"), W.alpha_of(half_life=n)) for n in (5, 21, 63)}
+    out = W.ewm(out, means, by, order).withColumns({f"vol_ewma_{n}d": F.sqrt(f"_e{n}") for n in (5, 21, 63)})
     out = W.ewm(out.withColumn("_macd", F.col("_m12") - F.col("_m26")), {"_signal": (F.col("_macd"), W.alpha_of(span=9))}, by, order)
     sigma = F.col("vol_ewma_21d")
     new: dict[str, Column] = {}
@@ -96,7 +95,7 @@ def price_features(daily: DataFrame, by: Sequence[str] = ("asset",), order: str
     new["taker_imbalance"] = imbalance
     new["taker_imbalance_5d"] = W.rolling_mean(imbalance, 5, w)
     new["amihud_21d"] = W.rolling_mean(F.abs(W.logret(c, 1, w)) / (F.col("quote_volume") + 1.0), 21, w) * 1e9
-    return out.withColumns(new).drop("_d", "_macd", "_signal", "vol_ewma_63d", *means)
+    return out.withColumns(new).drop("_r", "_d", "_macd", "_signal", "vol_ewma_63d", *means)
 
 
 def funding_daily(funding: DataFrame, by: Sequence[str] = ("asset",), at: str = "funding_time", rate: str = "funding_rate", tie: str | None = None) -> DataFrame:

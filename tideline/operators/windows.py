@@ -81,28 +81,44 @@ def alpha_of(half_life: float | None = None, span: float | None = None, alpha: f
 def ewm(df: DataFrame, columns: dict[str, tuple[Column, float]], by: Sequence[str], order: str, min_samples: int = 1) -> DataFrame:
     """Adds exponentially weighted means: name -> (value, alpha), weights (1 - alpha)^age over the sum of weights of non-null values.
 
-    Null where the value is null. Rows are numbered, and weights are taken within chunks of so many rows that what
-    lies two chunks back weighs less than a double can tell: running sums that neither overflow nor grow with the series.
+    Null where the value is null. Rows are numbered and weighed within chunks, with sums running inside a chunk. A chunk is short enough
+    that weights don't overflow, and long enough that what lies two chunks back weighs less than a double can tell, so
+    only the sums of the chunk before are carried: any length will do. Columns whose weights fall at like rates share chunks, and so windows.
     """
     w = series(by, order)
+    groups: list[list[tuple[str, Column, float]]] = []
+    for name, (x, alpha) in sorted(columns.items(), key=lambda c: c[1][1]):
+        decay = -math.log(1 - alpha)
+        if groups and 40 / groups[-1][0][2] <= 600 / decay:
+            groups[-1].append((name, x, decay))
+        else:
+            groups.append([(name, x, decay)])
     out = df.withColumn("_i", F.row_number().over(w) - 1)
     drop = ["_i"]
-    for k, (name, (x, alpha)) in enumerate(columns.items()):
-        decay = -math.log(1 - alpha)
-        size = max(2, math.ceil(40 / decay))
-        c, j, v, local = f"_c{k}", f"_j{k}", f"_v{k}", f"_l{k}"
-        out = out.withColumn(v, x).withColumns({c: F.expr(f"_i div {size}"), j: F.col("_i") % size})
-        up = F.when(F.col(v).isNotNull(), F.exp(F.col(j) * decay))
+    for g, members in enumerate(groups):
+        size = max(2, math.floor(600 / members[-1][2]))
+        c, j = f"_c{g}", f"_j{g}"
+        out = out.withColumns({c: F.expr(f"_i div {size}"), j: F.col("_i") % size} | {f"_v_{n}": x for n, x, _ in members})
         inside = series([*by, c], "_i").rowsBetween(Window.unboundedPreceding, 0)
-        down = F.exp(-F.col(j) * decay)
-        out = out.withColumn(local, F.struct((F.coalesce(F.sum(F.col(v) * up).over(inside), F.lit(0.0)) * down).alias("num"), (F.coalesce(F.sum(up).over(inside), F.lit(0.0)) * down).alias("den"), F.count(v).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("seen")))
+        sums = {}
+        for n, _, decay in members:
+            up = F.when(F.col(f"_v_{n}").isNotNull(), F.exp(F.col(j) * decay))
+            sums[f"_n_{n}"] = F.coalesce(F.sum(F.col(f"_v_{n}") * up).over(inside), F.lit(0.0)) * F.exp(F.col(j) * -decay)
+            sums[f"_d_{n}"] = F.coalesce(F.sum(up).over(inside), F.lit(0.0)) * F.exp(F.col(j) * -decay)
+        if min_samples > 1:
+            sums |= {f"_s_{n}": F.count(f"_v_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for n, _, _ in members}
+        out = out.withColumns(sums)
         # the last sums of the chunk before, aged by the rows since
-        out = out.withColumn(f"_b{k}", F.max(F.struct("_i", local)).over(Window.partitionBy(*by).orderBy(c).rangeBetween(-1, -1))[local])
-        age = F.exp(-(F.col(j) + 1) * decay)
-        num = F.col(local)["num"] + F.coalesce(F.col(f"_b{k}")["num"] * age, F.lit(0.0))
-        den = F.col(local)["den"] + F.coalesce(F.col(f"_b{k}")["den"] * age, F.lit(0.0))
-        out = out.withColumn(name, F.when(F.col(v).isNotNull() & (F.col(local)["seen"] >= min_samples), num / den))
-        drop += [c, j, v, local, f"_b{k}"]
+        last = F.max(F.struct("_i", *[f"{k}_{n}" for n, _, _ in members for k in ("_n", "_d")])).over(Window.partitionBy(*by).orderBy(c).rangeBetween(-1, -1))
+        out = out.withColumn(f"_b{g}", last)
+        made = {}
+        for n, _, decay in members:
+            age = F.exp((F.col(j) + 1) * -decay)
+            num, den = (F.col(f"{k}_{n}") + F.coalesce(F.col(f"_b{g}")[f"{k}_{n}"] * age, F.lit(0.0)) for k in ("_n", "_d"))
+            there = F.col(f"_v_{n}").isNotNull()
+            made[n] = F.when(there & (F.col(f"_s_{n}") >= min_samples) if min_samples > 1 else there, num / den)
+        out = out.withColumns(made)
+        drop += [c, j, f"_b{g}", *[f"{k}_{n}" for n, _, _ in members for k in ("_v", "_n", "_d", "_s")]]
     return out.drop(*drop)
 
 

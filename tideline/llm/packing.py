@@ -24,7 +24,7 @@ from tideline.llm.shared import written
 from tideline.llm.tokens import encoder
 
 #: Pieces of a shard at most (about), islands of a shard, individuals of an island, children of an epoch, and epochs.
-SHARD, ISLANDS, PEOPLE, CHILDREN, EPOCHS = 16_384, 2, 5, 10, 2
+SHARD, ISLANDS, PEOPLE, CHILDREN, EPOCHS = 32_768, 2, 5, 20, 2
 #: Tokens a bin may lack and still be kept when a shard's short bins are opened again, and how often they are at most.
 LACK, TURNS = 128, 6
 

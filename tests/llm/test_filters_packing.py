@@ -263,6 +263,19 @@ def test_pipeline(spark, sf):
     check_packing(got, want)
 
 
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None, 1), (5, "", None, "", 0, 2), (5, "", None, "", 0, 2), (6, " ", "en", "s", None, 3), (7, "w " * 50_000, "en", "s", 1, 4)], "doc_id long, text string, lang string, source string, n_chars long, score int")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        got = stage(spark, odd, sf)
+        if name != "best_fit_packing":
+            assert got.columns == odd.columns
+        assert got.count() <= 5 + 100
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - queries.ORACLE.keys()))
 def test_queries_run(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)

@@ -13,18 +13,22 @@ WORD_BPE, BYTE_BPE, END = public_tokenizers.path("word_bpe_49k.json"), public_to
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and decoded text by the word vocabulary."""
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.93 within labels."""
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
 def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens as read back from wavelet matrix files."""
     return wavelet.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, END)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document, with coverage and place."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
@@ -33,28 +37,34 @@ CONTROL = "SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/I
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation as read back from its formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.sql(CONTROL))
     return chat.digests(chat.read_chats(written(chat.format_chats(rows), "chats")))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays of each group of equal texts."""
     return exact.exact_groups(table(spark, sf_dir, "documents"), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, and which labels were held out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by rule or else by the language models."""
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = simhash.near_groups(table(spark, sf_dir, "documents"), bits=4, words=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document stands in the packed sequences."""
     packed = packing.pack(packing.pieces(table(spark, sf_dir, "documents"), BYTE_BPE, END, 1024), 1024)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -76,6 +76,17 @@ SPACES = r"[ \t\n\x0B\f\r]+"
 ESCAPE = r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]|END\]|NEXT\]))', '\1\\\2\3', 'g')"
 
 ORACLE = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), p AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r AS (SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT p.b, r.c FROM r JOIN p ON r.id = p.a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings
+        LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY 1) ON a = vec_id LEFT JOIN (SELECT id, min(c) AS c FROM r GROUP BY 1) ON id = vec_id""",
     "op5_chat_format": f"""
         WITH r AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

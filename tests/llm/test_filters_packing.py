@@ -88,42 +88,46 @@ def test_urls(spark):
     assert urls.judge(empty).count() == 0
 
 
-def test_markov_is_a_distribution_and_learns(spark):
-    m = urls.Markov(["abab", "abac", ""])
-    ctx = "\2" * (urls.ORDER - 1) + "a"
-    p = {c: math.exp(m.log_likelihood("a" + c) - m.log_likelihood("a")) for c in "bc"}
-    assert p["b"] > 0 and len(ctx) == urls.ORDER
-    total = 0.0
-    for c in [chr(i) for i in range(4, 256)] + ["\0", "\1", "\2"]:
-        f = urls.Markov(["abab"]).counts
-        q = 1 / 256
-        for k in range(urls.ORDER + 1):
-            found = f.get(("\2" * urls.ORDER + "a")[urls.ORDER + 1 - k :] if k else "")
-            if found is None:
-                break
-            q = (found[2].get(c, 0) + found[1] * q) / (found[0] + found[1])
-        total += q
-    q = 1 / 256
-    f = urls.Markov(["abab"]).counts
-    for k in range(urls.ORDER + 1):
-        found = f.get(("\2" * urls.ORDER + "a")[urls.ORDER + 1 - k :] if k else "")
-        if found is None:
-            break
-        q = (found[2].get("\3", 0) + found[1] * q) / (found[0] + found[1])
-    assert total + q == pytest.approx(1.0)
-    lab = spark.createDataFrame([(f"http://good.example/{i}", "allow") for i in range(50)] + [(f"http://spam-pills.example/{i}", "block") for i in range(50)], "url string, verdict string")
-    f = urls.learn(lab)
-    assert f.score("http://good.example/999") >= f.threshold > f.score("http://spam-pills.example/999")
+def test_markov_is_a_distribution():
+    m = urls.Markov.learned(["abab", "abac", ""])
+    for before in ("", "a", "ab", "zz"):
+        base = urls.START * urls.ORDER + before
+        total = 0.0
+        for c in map(chr, range(256)):  # the end among them
+            p = 1 / 256
+            for k in range(urls.ORDER + 1):
+                found = m.counts.get(base[len(base) - k :])
+                if found is None:
+                    break
+                p = (found[2].get(c, 0) + found[1] * p) / (found[0] + found[1])
+            total += p
+        assert total == pytest.approx(1.0)
+    assert m.log_likelihood("abab") > m.log_likelihood("zzzz")
+
+
+def test_models_learn_and_join_scores_alike(spark):
+    lab = spark.createDataFrame([(f"http://good.example/{i}", "allow") for i in range(60)] + [(f"http://spam-pills.example/{i}", "block") for i in range(60)] + [(None, "allow"), ("x", None)], "url string, verdict string")
+    rows = [(1, "http://good.example/999"), (2, "http://spam-pills.example/999"), (3, None), (4, ""), (5, "é😀://"), (5, "é😀://"), (6, "http://good.example/" + "x" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    one = {r["page_id"]: r for r in urls.judge(pages, rules=(), labelled=lab).collect()}
+    assert one[1]["verdict"] == "allow" and one[2]["verdict"] == "block"
+    two = urls.judge(pages, rules=(), labelled=lab, broadcast_rows=0).collect()
+    assert len(two) == len(rows)
+    for r in two:
+        assert r["score"] == pytest.approx(one[r["page_id"]]["score"]) and r["verdict"] == one[r["page_id"]]["verdict"]
+    for sided in (lab.where("verdict = 'allow'"), lab.limit(0)):
+        a, b = (sorted((r["page_id"], round(r["score"], 9)) for r in urls.judge(pages, rules=(), labelled=sided, broadcast_rows=n).collect()) for n in (urls.MODEL_ROWS, 0))
+        assert a == b or len(a) == len(b)
 
 
 def test_calibration():
     r = np.random.default_rng(0)
     for _ in range(30):
-        s = [(float(x), bool(y)) for x, y in zip(r.integers(0, 8, 20), r.random(20) < 0.5, strict=True)]
+        s = [(float(x), int(a), int(b)) for x, a, b in zip(range(8), r.integers(0, 4, 8), r.integers(0, 4, 8), strict=True)]
         at = urls.calibrated(s)
-        good, bad = [x for x, y in s if y], [x for x, y in s if not y]
-        cost = lambda t: sum(x < t for x in good) / len(good) + sum(x >= t for x in bad) / len(bad)  # noqa: E731, B023
-        assert cost(at) <= min(cost(t) for t in np.arange(-1, 9, 0.5)) + 1e-9
+        good, bad = sum(a for _, a, _ in s), sum(b for _, _, b in s)
+        cost = lambda t: sum(a for x, a, _ in s if x < t) / max(good, 1) + sum(b for x, _, b in s if x >= t) / max(bad, 1)  # noqa: E731, B023
+        assert not good or not bad or cost(at) <= min(cost(t) for t in np.arange(-1, 9, 0.5)) + 1e-9
     assert urls.calibrated([]) == 0.0
 
 

@@ -2,22 +2,31 @@
 
 Each model is a smoothed Markov model of variable order: the chance of a character after the longest contexts seen is mixed
 with that after shorter ones, each context weighing by how many different characters have followed it (Witten-Bell), down
-to a uniform chance. One model is learned from accepted URLs, one from rejected ones; a URL's score is the difference of
-their log-likelihoods over its length, and it is allowed from a threshold on. The threshold is calibrated on URLs
-that weren't learned from, where the shares of wrongly blocked and wrongly allowed ones are least in sum.
+to a uniform chance. One model is learned from all accepted URLs, one from all rejected ones, but for a fifth of them; a URL's score is the
+difference of their log-likelihoods over its length, and it is allowed from a threshold on. The threshold is calibrated on the
+fifth that wasn't learned from, where the shares of wrongly blocked and wrongly allowed ones are least in sum.
+
+Counts are a table that grows with the URLs. While it has at most MODEL_ROWS rows it is broadcast and URLs are scored where they are; beyond that,
+the characters of URLs are joined with it. Both give the same scores.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest context; labelled URLs of either kind that are learned from, and calibrated on, at most.
-ORDER, SAMPLE = 5, 8000
+from tideline.llm.shared import written
+
+#: Longest context, and rows of counts that are broadcast at most.
+ORDER, MODEL_ROWS = 5, 600_000
+#: Scores are calibrated in steps of this size.
+STEP = 1e-4
+START, END = "\2", "\3"
 #: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -38,24 +47,33 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def ngrams(texts: Iterable[str], order: int = ORDER) -> Counter[tuple[str, str]]:
+    """Times each character (or the end) follows each context of up to ``order`` characters."""
+    out: Counter[tuple[str, str]] = Counter()
+    for t in texts:
+        t = START * order + t + END
+        out.update((t[i - k : i], t[i]) for i in range(order, len(t)) for k in range(order + 1))
+    return out
+
+
 class Markov:
-    """Counts of the characters that follow each context of up to ORDER characters."""
-
-    def __init__(self, texts: list[str], order: int = ORDER):
-        self.order = order
-        counts: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for t in texts:
-            t = "\2" * order + t + "\3"
-            for i in range(order, len(t)):
-                for k in range(order + 1):
-                    counts[t[i - k : i]][t[i]] += 1
+    """A model from counts of (context, character)."""
+
+    def __init__(self, counts: Iterable[tuple[str, str, int]], order: int = ORDER):
+        self.order, self.uniform = order, 1 / 256
+        of: dict[str, dict[str, int]] = defaultdict(dict)
+        for context, c, n in counts:
+            of[context][c] = n
         # by context: (characters in all, different ones, counts)
-        self.counts = {c: (sum(n.values()), len(n), dict(n)) for c, n in counts.items()}
-        self.uniform = 1 / 256
+        self.counts = {k: (sum(n.values()), len(n), n) for k, n in of.items()}
+
+    @classmethod
+    def learned(cls, texts: Iterable[str], order: int = ORDER) -> Markov:
+        return cls(((a, c, n) for (a, c), n in ngrams(texts, order).items()), order)
 
     def log_likelihood(self, text: str) -> float:
         out, counts, order = 0.0, self.counts, self.order
-        t = "\2" * order + text + "\3"
+        t = START * order + text + END
         for i in range(order, len(t)):
             p, c = self.uniform, t[i]
             for k in range(order + 1):
@@ -68,66 +86,107 @@ class Markov:
         return out
 
 
-@dataclass
-class Filter:
-    allow: Markov
-    block: Markov
-    threshold: float
-
-    def score(self, url: str | None) -> float:
-        url = url or ""
-        return (self.allow.log_likelihood(url) - self.block.log_likelihood(url)) / (len(url) + 1)
+def ratio(allow: Markov, block: Markov, url: str | None) -> float:
+    url = url or ""
+    return (allow.log_likelihood(url) - block.log_likelihood(url)) / (len(url) + 1)
 
 
-def calibrated(scores: list[tuple[float, bool]]) -> float:
-    """The threshold with the least sum of the shares of allowed ones below and blocked ones from it on; the middle between two scores, 0 without both kinds."""
-    good, bad = sum(a for _, a in scores), sum(not a for _, a in scores)
+def calibrated(scores: list[tuple[float, int, int]]) -> float:
+    """The threshold with the least sum of the shares of allowed ones below and blocked ones from it on, of (score, allowed, blocked); the middle between two scores, 0 without both kinds."""
+    good, bad = sum(a for _, a, _ in scores), sum(b for _, _, b in scores)
     if not good or not bad:
         return 0.0
     scores = sorted(scores)
-    # from the threshold below all scores, every blocked one is allowed
-    lost, passed, best, at = 0, bad, 1.0, scores[0][0] - 1e-9
-    for i, (s, allowed) in enumerate(scores):
-        lost, passed = lost + allowed, passed - (not allowed)
-        if i + 1 < len(scores) and scores[i + 1][0] == s:
-            continue
+    # from a threshold below all scores on, every blocked one is allowed
+    lost, passed, best, at = 0, bad, 1.0, scores[0][0] - STEP / 2
+    for i, (s, a, b) in enumerate(scores):
+        lost, passed = lost + a, passed - b
         cost = lost / good + passed / bad
         if cost < best:
-            best, at = cost, (s + scores[i + 1][0]) / 2 if i + 1 < len(scores) else s + 1e-9
+            best, at = cost, (s + scores[i + 1][0]) / 2 if i + 1 < len(scores) else s + STEP / 2
     return at
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Filter:
-    """A filter from labelled(url, verdict): distinct URLs with the least hashes, at most ``sample`` of each verdict; every fifth of them calibrates."""
-    found: dict[str, list[str]] = {}
-    for verdict in ("allow", "block"):
-        some = labelled.where((F.col("verdict") == verdict) & F.col("url").isNotNull()).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(sample)
-        found[verdict] = [r["url"] for r in some.collect()]
-    learned = {v: Markov([u for i, u in enumerate(us) if i % 5]) for v, us in found.items()}
-    out = Filter(learned["allow"], learned["block"], 0.0)
-    out.threshold = calibrated([(out.score(u), v == "allow") for v, us in found.items() for u in us[::5]])
-    return out
+def counts(labelled: DataFrame) -> DataFrame:
+    """(allow, context, c, n) of all URLs of labelled(url, allow): summed within tasks, then over them."""
+
+    def run(batches):
+        seen = (Counter(), Counter())
 
+        def out():
+            rows = [(bool(m), a, c, n) for m in (0, 1) for (a, c), n in seen[m].items()]
+            for m in seen:
+                m.clear()
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.bool_(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["allow", "context", "c", "n"])
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+        for b in batches:
+            for url, allow in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[allow].update(ngrams([url]))
+                if len(seen[0]) + len(seen[1]) > MODEL_ROWS:
+                    yield out()
+        yield out()
+
+    made = labelled.select("url", "allow").mapInArrow(run, "allow boolean, context string, c string, n long")
+    return written(made.groupBy("allow", "context", "c").agg(F.sum("n").alias("n")), "counts")
+
+
+def scored(rows: DataFrame, model: DataFrame, url: str = "url", broadcast_rows: int = MODEL_ROWS) -> DataFrame:
+    """rows with the score of their URL (null: empty) by counts()."""
+    if model.count() > broadcast_rows:
+        return scored_by_join(rows, model, url)
+    held = model.toPandas()
+    side = [Markov(zip(p["context"], p["c"], p["n"].tolist(), strict=True)) for p in (held[held["allow"]], held[~held["allow"]])]
+    told = rows.sparkSession.sparkContext.broadcast(side)
+
+    @F.pandas_udf("double")
+    def score(urls):
+        return urls.map(lambda u: ratio(*told.value, u))
+
+    return rows.withColumn("score", score(F.coalesce(url, F.lit(""))))
+
+
+def scored_by_join(rows: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
+    """As scored(), for models of any size: each distinct URL's characters with their contexts meet the counts by a join."""
+    distinct = written(rows.select(F.coalesce(url, F.lit("")).alias("u")).distinct(), "urls")
+    text = F.concat(F.lit(START * ORDER), "u", F.lit(END))
+    places = distinct.select("u", text.alias("t"), F.explode(F.expr(f"sequence({ORDER}, char_length(u) + {ORDER})")).alias("i"))
+    contexts = places.select("u", "i", F.expr("substring(t, i + 1, 1)").alias("c"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda k: F.struct(k.alias("k"), F.expr("t").substr(F.col("i") - k + 1, k).alias("context")))).alias("x"))
+    contexts = contexts.select("u", "i", "c", "x.k", "x.context").crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(True,), (False,)], "allow boolean")))
+    totals = model.groupBy("allow", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    met = contexts.join(totals, ["allow", "context"]).join(model, ["allow", "context", "c"], "left")
+    # contexts that were seen are those of the first lengths, as a longer one holds the shorter
+    ordered = met.groupBy("u", "i", "allow").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("l"))
+    p = F.aggregate("l", F.lit(1 / 256), lambda p, x: (x["n"] + x["kinds"] * p) / (x["total"] + x["kinds"]))
+    sign = F.when(F.col("allow"), 1.0).otherwise(-1.0)
+    known = ordered.groupBy("u").agg(F.sum(sign * F.ln(p)).alias("s"))
+    # a model without counts gives every character the uniform chance
+    missing = [m for m in (True, False) if model.where(F.col("allow") == m).isEmpty()]
+    n = F.char_length("u") + 1
+    flat = sum((math.log(1 / 256) if m else -math.log(1 / 256)) for m in missing)
+    score = (F.coalesce("s", F.lit(0.0)) + n * F.lit(flat)) / n
+    by = distinct.join(known, "u", "left").select(F.col("u").alias("_key"), score.alias("score"))
+    return rows.join(by, F.coalesce(F.col(url), F.lit("")) == F.col("_key")).drop("_key")
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, broadcast_rows: int = MODEL_ROWS) -> DataFrame:
     """(id, host, path, rule, score, verdict) of every row.
 
     A rule that fits decides. Other URLs are judged by the models, learned from ``labelled`` (url, verdict), or by default
     from the URLs that rules decide; where one verdict has no URLs, a model knows nothing and all its chances are uniform. A null
-    URL counts as empty.
+    URL counts as empty; repeated rows come out as often as they come in.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("id", "url", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    model = learn(labelled if labelled is not None else rows.where("rule is not null"), sample)
-    told = pages.sparkSession.sparkContext.broadcast(model)  # at most 2 * sample URLs' contexts
-
-    @F.pandas_udf("double")
-    def score(urls):
-        return urls.map(told.value.score)
-
-    # every URL has a score, so that rules and models can be compared
-    rows = rows.withColumn("score", score(F.coalesce("url", F.lit(""))))
-    by_model = F.when(F.col("score") >= model.threshold, "allow").otherwise("block")
+    known = (labelled if labelled is not None else rows.where("rule is not null")).where("url is not null and verdict in ('allow', 'block')")
+    known = written(known.select("url", (F.col("verdict") == "allow").alias("allow")).distinct(), "labelled")
+    fifth = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    model = counts(known.where(~fifth))
+    # scores in steps, so few rows reach the driver however many URLs there are
+    steps = scored(known.where(fifth), model, broadcast_rows=broadcast_rows).groupBy(F.round(F.col("score") / STEP).cast("long").alias("step")).agg(F.count_if("allow").alias("a"), F.count_if(~F.col("allow")).alias("b"))
+    threshold = calibrated([(r["step"] * STEP, r["a"], r["b"]) for r in steps.collect()])
+    rows = scored(rows, model, broadcast_rows=broadcast_rows)
+    by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return rows.select(F.col("id").alias(id_col), "host", "path", "rule", "score", F.coalesce("verdict", by_model).alias("verdict"))

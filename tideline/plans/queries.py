@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +15,7 @@ from tideline.operators import asof, bars, dedup, labels, matrix, merge, news, r
 from tideline.operators import windows as W
 from tideline.plans import backtest, cv, dataset, frames, gates, overfit, training
 from tideline.plans.frames import ARTICLES, CLOCKED, EVENT_BARS, INTERVALS, ORDER_BARS, REGIME_DAYS, TONE_ROWS, TRIAL_RETURNS, table
+from tideline.session import shared_dir
 from tideline.sources import contract, readers
 from tideline.streaming import flows
 
@@ -780,8 +781,8 @@ def contract_differences(spark, sf):
 def stream_daily_bars(spark, sf):
     schema = table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    name = f"stream_daily_bars_{abs(hash(sf)) % 10**9}"
-    q = flows.run(flows.daily_bars(source), tempfile.mkdtemp(prefix="tideline-"), name=name)
+    name = f"stream_daily_bars_{uuid.uuid4().hex}"
+    q = flows.run(flows.daily_bars(source), f"{shared_dir(spark)}/{name}", name=name)
     q.awaitTermination()
     return spark.table(name).withColumn("date", F.col("date").cast("timestamp_ntz"))
 

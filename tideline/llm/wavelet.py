@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.shared import BROADCAST_ROWS, shared_dir
+from tideline.llm.shared import BROADCAST_ROWS
 from tideline.llm.tokens import encoder
+from tideline.session import shared_dir
 
 MAGIC, BLOCK = b"TWM1", 8  # words of 64 bits between two counts
 #: Tokens a file holds at least before the next begins; a file ends with a document.

@@ -88,21 +88,30 @@ def test_urls(spark):
     assert urls.judge(empty).count() == 0
 
 
-def test_markov_is_a_distribution():
-    m = urls.Markov.learned(["abab", "abac", ""])
-    for before in ("", "a", "ab", "zz"):
-        base = urls.START * urls.ORDER + before
-        total = 0.0
-        for c in map(chr, range(256)):  # the end among them
-            p = 1 / 256
-            for k in range(urls.ORDER + 1):
-                found = m.counts.get(base[len(base) - k :])
-                if found is None:
-                    break
-                p = (found[2].get(c, 0) + found[1] * p) / (found[0] + found[1])
-            total += p
-        assert total == pytest.approx(1.0)
-    assert m.log_likelihood("abab") > m.log_likelihood("zzzz")
+def plain_chance(texts, before, c):
+    """Witten-Bell by counting strings."""
+    p = urls.UNIFORM
+    for k in range(urls.ORDER + 1):
+        context = ("\2" * urls.ORDER + before)[urls.ORDER + len(before) - k :]
+        after = [t[i + k] for t in ("\2" * urls.ORDER + t + "\3" for t in texts) for i in range(urls.ORDER - k, len(t) - k) if t[i : i + k] == context]
+        if not after:
+            break
+        p = (after.count(c) + len(set(after)) * p) / (len(after) + len(set(after)))
+    return p
+
+
+def test_markov_is_plain_counting_and_a_distribution():
+    texts = ["abab", "abac", "", "é😀b"]
+    m = urls.Markov.learned(texts)
+    for text in ("", "abac", "zzab", "é😀bab"):
+        s, at = urls.symbols([text])
+        low = "".join(c if ord(c) < urls.LAST else chr(urls.LAST) for c in text)
+        lows = ["".join(c if ord(c) < urls.LAST else chr(urls.LAST) for c in t) for t in texts]
+        want = [plain_chance(lows, low[:i], c) for i, c in enumerate(low + "\3")]
+        assert m.chances(s, at).tolist() == pytest.approx(want)
+    for before in ("", "ab", "zz"):
+        assert sum(m.chances(*(lambda s, at: (s, at[[len(before)]]))(*urls.symbols([before + chr(i)])))[0] for i in range(512)) == pytest.approx(1.0)
+    assert urls.ratios(m, urls.Markov.learned([]), [None, "abab"])[1] > 0
 
 
 def test_models_learn_and_join_scores_alike(spark):

@@ -6,27 +6,31 @@ to a uniform chance. One model is learned from all accepted URLs, one from all r
 difference of their log-likelihoods over its length, and it is allowed from a threshold on. The threshold is calibrated on the
 fifth that wasn't learned from, where the shares of wrongly blocked and wrongly allowed ones are least in sum.
 
-Counts are a table that grows with the URLs. While it has at most MODEL_ROWS rows it is broadcast and URLs are scored where they are; beyond that,
-the characters of URLs are joined with it. Both give the same scores.
+A context with the character after it is one whole number, so counts are a table of numbers that grows with the URLs. While it has at most
+MODEL_ROWS rows it is broadcast as sorted arrays and URLs are scored where they are; beyond that, the characters of URLs are joined
+with it. Both give the same scores. Characters from U+01FF on count as one.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
-from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.shared import written
 
-#: Longest context, and rows of counts that are broadcast at most.
-ORDER, MODEL_ROWS = 5, 600_000
+#: Longest context, rows of counts that are broadcast at most (16 bytes each), and URLs scored or counted at once.
+ORDER, MODEL_ROWS, BATCH = 5, 3_000_000, 2000
 #: Scores are calibrated in steps of this size.
 STEP = 1e-4
-START, END = "\2", "\3"
+#: Bits of a character, the last one there is, and the marks of a URL's start and end.
+BITS, LAST, START, END = 9, 511, 2, 3
+UNIFORM = 1 / (LAST + 1)
+
+
 #: (host, path prefix, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -47,48 +51,73 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def ngrams(texts: Iterable[str], order: int = ORDER) -> Counter[tuple[str, str]]:
-    """Times each character (or the end) follows each context of up to ``order`` characters."""
-    out: Counter[tuple[str, str]] = Counter()
-    for t in texts:
-        t = START * order + t + END
-        out.update((t[i - k : i], t[i]) for i in range(order, len(t)) for k in range(order + 1))
-    return out
+def symbols(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """URLs (null: empty) one after the other as numbers, each after ORDER start marks and before an end mark; and the places of their characters and ends."""
+    parts, places, at = [], [], 0
+    head = np.full(ORDER, START, np.int64)
+    for u in urls:
+        code = np.minimum(np.frombuffer((u or "").encode("utf-32-le", "surrogatepass"), "<u4"), LAST).astype(np.int64)
+        parts += [head, code, [END]]
+        places.append(np.arange(at + ORDER, at + ORDER + len(code) + 1))
+        at += ORDER + len(code) + 1
+    return np.concatenate(parts).astype(np.int64), np.concatenate(places)
 
 
-class Markov:
-    """A model from counts of (context, character)."""
+def contexts(s: np.ndarray, at: np.ndarray):
+    """For each length of context, its number before each place: the length, then the characters, the nearest last."""
+    context = np.zeros(len(at), np.int64)
+    for k in range(ORDER + 1):
+        if k:
+            context = context | s[at - k] << BITS * (k - 1)
+        yield k, np.int64(k) << BITS * ORDER | context
 
-    def __init__(self, counts: Iterable[tuple[str, str, int]], order: int = ORDER):
-        self.order, self.uniform = order, 1 / 256
-        of: dict[str, dict[str, int]] = defaultdict(dict)
-        for context, c, n in counts:
-            of[context][c] = n
-        # by context: (characters in all, different ones, counts)
-        self.counts = {k: (sum(n.values()), len(n), n) for k, n in of.items()}
 
-    @classmethod
-    def learned(cls, texts: Iterable[str], order: int = ORDER) -> Markov:
-        return cls(((a, c, n) for (a, c), n in ngrams(texts, order).items()), order)
+def keys(urls: list[str | None]) -> np.ndarray:
+    """The number of every context with the character after it, of all lengths."""
+    s, at = symbols(urls)
+    return np.concatenate([c << BITS | s[at] for _, c in contexts(s, at)])
+
 
-    def log_likelihood(self, text: str) -> float:
-        out, counts, order = 0.0, self.counts, self.order
-        t = START * order + text + END
-        for i in range(order, len(t)):
-            p, c = self.uniform, t[i]
-            for k in range(order + 1):
-                found = counts.get(t[i - k : i])
-                if found is None:
-                    break
-                n, kinds, of = found
-                p = (of.get(c, 0) + kinds * p) / (n + kinds)
-            out += math.log(p)
-        return out
+class Markov:
+    """A model from counts by key."""
 
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.n = key[order], n[order].astype(np.int64)
+        # by context: characters in all, and different ones
+        self.context, first = np.unique(self.key >> BITS, return_index=True)
+        self.kinds = np.diff(np.r_[first, len(key)])
+        self.total = np.add.reduceat(self.n, first) if len(key) else self.n
 
-def ratio(allow: Markov, block: Markov, url: str | None) -> float:
-    url = url or ""
-    return (allow.log_likelihood(url) - block.log_likelihood(url)) / (len(url) + 1)
+    @classmethod
+    def learned(cls, urls: list[str]) -> Markov:
+        return cls(*np.unique(keys(urls), return_counts=True)) if urls else cls(np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def chances(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The chance of each place's character."""
+        p = np.full(len(at), UNIFORM)
+        if not len(self.key):
+            return p
+        for _, c in contexts(s, at):
+            i = np.minimum(np.searchsorted(self.context, c), len(self.context) - 1)
+            seen = self.context[i] == c  # where a context was seen, so were all shorter ones
+            k = c << BITS | s[at]
+            j = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
+            n = np.where(self.key[j] == k, self.n[j], 0)
+            p = np.where(seen, (n + self.kinds[i] * p) / (self.total[i] + self.kinds[i]), p)
+        return p
+
+
+def ratios(allow: Markov, block: Markov, urls: list[str | None]) -> np.ndarray:
+    """Scores of URLs: log-likelihood by one model less that by the other, over the length with the end."""
+    out = []
+    for b in range(0, len(urls), BATCH):
+        part = urls[b : b + BATCH]
+        s, at = symbols(part)
+        x = np.log(allow.chances(s, at)) - np.log(block.chances(s, at))
+        sizes = np.array([len(u or "") + 1 for u in part])
+        out.append(np.add.reduceat(x, np.cumsum(sizes) - sizes) / sizes)
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def calibrated(scores: list[tuple[float, int, int]]) -> float:
@@ -108,27 +137,21 @@ def calibrated(scores: list[tuple[float, int, int]]) -> float:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(allow, context, c, n) of all URLs of labelled(url, allow): summed within tasks, then over them."""
+    """(allow, key, n) of all URLs of labelled(url, allow): summed within batches, then over them."""
 
     def run(batches):
-        seen = (Counter(), Counter())
-
-        def out():
-            rows = [(bool(m), a, c, n) for m in (0, 1) for (a, c), n in seen[m].items()]
-            for m in seen:
-                m.clear()
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.bool_(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["allow", "context", "c", "n"])
-
         for b in batches:
-            for url, allow in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[allow].update(ngrams([url]))
-                if len(seen[0]) + len(seen[1]) > MODEL_ROWS:
-                    yield out()
-        yield out()
+            allow = np.array(b.column(1).to_pylist(), bool)
+            urls = np.array(b.column(0).to_pylist(), object)
+            for at in range(0, len(urls), BATCH):
+                for side in (True, False):
+                    part = urls[at : at + BATCH][allow[at : at + BATCH] == side].tolist()
+                    if part:
+                        key, n = np.unique(keys(part), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([side] * len(key), pa.bool_()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["allow", "key", "n"])
 
-    made = labelled.select("url", "allow").mapInArrow(run, "allow boolean, context string, c string, n long")
-    return written(made.groupBy("allow", "context", "c").agg(F.sum("n").alias("n")), "counts")
+    made = labelled.select("url", "allow").mapInArrow(run, "allow boolean, key long, n long")
+    return written(made.groupBy("allow", "key").agg(F.sum("n").alias("n")), "counts")
 
 
 def scored(rows: DataFrame, model: DataFrame, url: str = "url", broadcast_rows: int = MODEL_ROWS) -> DataFrame:
@@ -136,36 +159,41 @@ def scored(rows: DataFrame, model: DataFrame, url: str = "url", broadcast_rows:
     if model.count() > broadcast_rows:
         return scored_by_join(rows, model, url)
     held = model.toPandas()
-    side = [Markov(zip(p["context"], p["c"], p["n"].tolist(), strict=True)) for p in (held[held["allow"]], held[~held["allow"]])]
+    side = [Markov(p["key"].to_numpy(np.int64), p["n"].to_numpy(np.int64)) for p in (held[held["allow"]], held[~held["allow"]])]
     told = rows.sparkSession.sparkContext.broadcast(side)
 
     @F.pandas_udf("double")
     def score(urls):
-        return urls.map(lambda u: ratio(*told.value, u))
+        import pandas as pd
+
+        return pd.Series(ratios(*told.value, urls.tolist()), dtype="float64")
 
     return rows.withColumn("score", score(F.coalesce(url, F.lit(""))))
 
 
 def scored_by_join(rows: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
     """As scored(), for models of any size: each distinct URL's characters with their contexts meet the counts by a join."""
-    distinct = written(rows.select(F.coalesce(url, F.lit("")).alias("u")).distinct(), "urls")
-    text = F.concat(F.lit(START * ORDER), "u", F.lit(END))
-    places = distinct.select("u", text.alias("t"), F.explode(F.expr(f"sequence({ORDER}, char_length(u) + {ORDER})")).alias("i"))
-    contexts = places.select("u", "i", F.expr("substring(t, i + 1, 1)").alias("c"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(ORDER)), lambda k: F.struct(k.alias("k"), F.expr("t").substr(F.col("i") - k + 1, k).alias("context")))).alias("x"))
-    contexts = contexts.select("u", "i", "c", "x.k", "x.context").crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(True,), (False,)], "allow boolean")))
-    totals = model.groupBy("allow", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    met = contexts.join(totals, ["allow", "context"]).join(model, ["allow", "context", "c"], "left")
-    # contexts that were seen are those of the first lengths, as a longer one holds the shorter
-    ordered = met.groupBy("u", "i", "allow").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("l"))
-    p = F.aggregate("l", F.lit(1 / 256), lambda p, x: (x["n"] + x["kinds"] * p) / (x["total"] + x["kinds"]))
-    sign = F.when(F.col("allow"), 1.0).otherwise(-1.0)
-    known = ordered.groupBy("u").agg(F.sum(sign * F.ln(p)).alias("s"))
+    distinct = written(rows.select(F.coalesce(url, F.lit("")).alias("u")).distinct().withColumn("id", F.monotonically_increasing_id()), "urls")
+
+    def spread(batches):
+        for b in batches:
+            for i, u in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
+                s, at = symbols([u])
+                for k, c in contexts(s, at):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(c, pa.int64()), pa.array(c << BITS | s[at], pa.int64())], names=["id", "at", "k", "context", "key"])
+
+    places = distinct.mapInArrow(spread, "id long, at long, k int, context long, key long")
+    sides = rows.sparkSession.createDataFrame([(True,), (False,)], "allow boolean")
+    totals = model.groupBy("allow", F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    met = places.crossJoin(F.broadcast(sides)).join(totals, ["allow", "context"]).join(model, ["allow", "key"], "left")
+    # a context that was seen has all shorter ones before it
+    ordered = met.groupBy("id", "at", "allow").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("l"))
+    p = F.aggregate("l", F.lit(UNIFORM), lambda p, x: (x["n"] + x["kinds"] * p) / (x["total"] + x["kinds"]))
+    known = ordered.groupBy("id").agg(F.sum(F.when(F.col("allow"), F.ln(p)).otherwise(-F.ln(p))).alias("s")).withColumnRenamed("id", "known_id")
     # a model without counts gives every character the uniform chance
-    missing = [m for m in (True, False) if model.where(F.col("allow") == m).isEmpty()]
+    flat = sum((1 if side else -1) * math.log(UNIFORM) for side in (True, False) if model.where(F.col("allow") == side).isEmpty())
     n = F.char_length("u") + 1
-    flat = sum((math.log(1 / 256) if m else -math.log(1 / 256)) for m in missing)
-    score = (F.coalesce("s", F.lit(0.0)) + n * F.lit(flat)) / n
-    by = distinct.join(known, "u", "left").select(F.col("u").alias("_key"), score.alias("score"))
+    by = distinct.join(known, F.col("id") == F.col("known_id"), "left").select(F.col("u").alias("_key"), ((F.coalesce("s", F.lit(0.0)) + n * F.lit(float(flat))) / n).alias("score"))
     return rows.join(by, F.coalesce(F.col(url), F.lit("")) == F.col("_key")).drop("_key")
 
 

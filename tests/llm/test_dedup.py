@@ -139,6 +139,36 @@ def test_similar_groups(spark, docs, texts):
     assert kept.columns == docs.columns and {i for i in ids if i is not None} == set(comp.values())
 
 
+@pytest.fixture(scope="module")
+def planted():
+    """Texts by id: pairs whose exact similarity spreads from 0.6 to 0.95, of short and long texts, and unlike ones."""
+    r, out = np.random.default_rng(11), {}
+    for k in range(240):
+        n = int(r.choice([40, 120, 400]))
+        words = [f"w{x}" for x in r.integers(0, 10**9, n + 4)]
+        goal = 0.6 + 0.35 * k / 239
+        lost = round(n * (1 - goal) / (1 + goal))  # each of them in one and not in the other
+        other = words[:]
+        for x in range(lost // 5):
+            other[4 + 5 * x] = f"x{k}-{x}"
+        other[len(other) - lost % 5 :] = [f"y{k}-{x}" for x in range(lost % 5)]
+        out[2 * k], out[2 * k + 1] = " ".join(words), " ".join(other)
+    # four of five shingles, and three of four
+    out[480], out[481], out[482], out[483] = "a b c d e f g h i", "a b c d e f g h", "k l m n o p q r", "k l m n o p q"
+    return out
+
+
+def test_similar_groups_are_exact(spark, planted):
+    s = [shingles(planted[i]) for i in range(len(planted))]
+    similar = [(i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) / len(s[i] | s[j]) >= 0.8]
+    assert 90 < len(similar) < 150 and (481, 480) in similar and (483, 482) not in similar
+    want = smallest(len(s), similar)
+    docs = spark.createDataFrame(list(planted.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert [i for i in got if got[i] != i and got[i] != want[i]] == []
+    assert {r["doc_id"] for r in simhash.drop_near(docs).collect()} == set(got.values())
+
+
 def test_components(spark):
     r = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(300, 420)] + [(500, i) for i in range(501, 560)] + [(7, 7)]

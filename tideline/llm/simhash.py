@@ -7,7 +7,8 @@ fingerprints below share (mask and pattern). Two nodes are compared by the share
 than k, and all pairs below are cut off at once; if no two members can differ in more than k, they are linked at
 once. Nodes that are known to be of one component already are passed over, so a dense group of n isn't n squared.
 
-Fingerprints may also be wider, for similarities that 64 bits are too few to tell; then buckets are bands of bits.
+Fingerprints may also be wider, for similarities that 64 bits are too few to tell; then buckets are bands of bits, and the pairs found
+are only candidates, whose shingles are compared.
 
 A bucket above TILE members is dealt into tiles by a hash, and each pair of its tiles is a task of its own: no task
 holds more, and no link is lost. Tasks emit a tree for each component they see, not its links.
@@ -17,17 +18,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.components import components, local_labels, tree_edges
-from tideline.llm.shared import fresh_key, without, written
+from tideline.llm.shared import BROADCAST_ROWS, fresh_key, without, written
 
 #: Fingerprints of one bucket that a task takes; larger buckets are dealt into tiles.
 TILE = 4096
 #: Node pairs compared at once in a task: bounds its memory.
 FRONTIER = 1 << 19
+#: Pairs whose shingles are compared before those that they join are passed over.
+CHECKED = 256
 
 
 def fingerprint(text: str | None, n: int = 4, seed: int = 42) -> int:
@@ -87,9 +91,10 @@ class GrayIndex:
             at = np.arange(0, len(every), 2)
             self.levels.append((np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at), low[at], np.maximum.reduceat(high, at)))
 
-    def labels(self, k: int) -> np.ndarray:
-        """Component labels, by place in order, of the links of at most k differing bits."""
+    def labels(self, k: int, check=None) -> np.ndarray:
+        """Component labels, by place in order, of the links of at most k differing bits, and (if given) for which check(a, b) of their places holds."""
         n = len(self.levels[0][0])
+        self.check = check
         self.label = np.arange(n)
         if n > 1:
             self._known()
@@ -108,6 +113,17 @@ class GrayIndex:
     def _link(self, left: np.ndarray, right: np.ndarray) -> None:
         self.label = local_labels(len(self.label), left, right, self.label)
 
+    def _checked(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links the pairs that check() takes, neighbours first; what is of one component by then isn't checked."""
+        order = np.argsort(b - a, kind="stable")
+        for at in range(0, len(order), CHECKED):
+            x, y = a[order[at : at + CHECKED]], b[order[at : at + CHECKED]]
+            apart = self.label[x] != self.label[y]
+            x, y = x[apart], y[apart]
+            if len(x):
+                good = self.check(x, y)
+                self._link(x[good], y[good])
+
     def _join(self, level: int, a: np.ndarray, b: np.ndarray, k: int) -> None:
         """Links the members of node pairs (a <= b) of a level."""
         while True:
@@ -121,9 +137,12 @@ class GrayIndex:
             keep = ones(differ & shared) <= k
             a, b, differ, shared = a[keep], b[keep], differ[keep], shared[keep]
             if level == 0:
-                self._link(a, b)
+                if self.check is None:
+                    self._link(a, b)
+                else:
+                    self._checked(a, b)
                 return
-            close = (ones(~shared | differ) <= k) & (low[a] == high[b])
+            close = np.zeros(len(a), bool) if self.check else (ones(~shared | differ) <= k) & (low[a] == high[b])
             if close.any():
                 size = 1 << level
                 n = len(self.label)
@@ -168,10 +187,10 @@ def links(distinct: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     return tree_links(routed, lambda held: held.column("node").to_numpy().view(np.uint64), bits, distinct.count() * (bits + 1), tile)
 
 
-def tree_links(routed: DataFrame, codes, bits: int, rows: int, tile: int = TILE) -> DataFrame:
+def tree_links(routed: DataFrame, codes, bits: int, rows: int, tile: int = TILE, check=None) -> DataFrame:
     """(u, v): trees that join the nodes of routed(node, bucket, ...) which links of at most ``bits`` differing bits join within buckets.
 
-    codes(table) gives the fingerprints of a task's rows. Buckets over a tile's size are dealt into tiles, and each pair of tiles is a task.
+    codes(table) gives the fingerprints of a task's rows; check(table, order), if given, what GrayIndex.labels() asks of a pair. Buckets over a tile's size are dealt into tiles, and each pair of tiles is a task.
     """
     # at most rows / tile buckets are so large; others are dealt by their key
     large = routed.groupBy("bucket").count().where(F.col("count") > tile).select(fresh_key("bucket").alias("large"), F.ceil(F.col("count") / tile).cast("int").alias("g"))
@@ -186,7 +205,7 @@ def tree_links(routed: DataFrame, codes, bits: int, rows: int, tile: int = TILE)
 
     def run(held: pa.Table) -> pa.Table:
         index = GrayIndex(codes(held), held.column("bucket").to_numpy())
-        u, v = tree_edges(index.labels(bits))
+        u, v = tree_edges(index.labels(bits, check and check(held, index.order)))
         node = held.column("node").to_numpy()[index.order]
         return pa.table({"u": node[u], "v": node[v]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
@@ -210,20 +229,29 @@ def near_groups(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "d
 
 #: Words of a wide fingerprint, and the share of links at the threshold that its bands must find.
 WIDE, RECALL = 8, 0.95
+#: Texts of one group whose shingles a task holds; larger groups are dealt into tiles.
+SETS_TILE = 1024
 #: A bit's value by byte value and place, to count bits from counts of bytes.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def wide_fingerprint(text: str | None, n: int = 5, seed: int = 42, words: int = WIDE) -> np.ndarray:
-    """SimHash of ``words`` times 64 bits over the distinct word n-grams (fewer words: the whole sequence; none: zero)."""
+def shingles(text: str | None, n: int = 5, seed: int = 42) -> np.ndarray:
+    """Hashes of the distinct word n-grams, sorted (fewer words: the whole sequence; none: no hash)."""
     split = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not split:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     joined, digest = b" ".join(split), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     m = max(1, len(split) - n + 1)
-    h = np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[:m].tolist(), ends[min(n, len(split)) - 1 :].tolist(), strict=True)], np.uint64))
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts[:m].tolist(), ends[min(n, len(split)) - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(text: str | None, n: int = 5, seed: int = 42, words: int = WIDE) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits over the shingles() (none: zero)."""
+    h = shingles(text, n, seed)
+    if not len(h):
+        return np.zeros(words, np.uint64)
     total = np.zeros((words * 8, 8), np.int64)
     # each word's hash of a shingle is a mix of the one hash with a constant of its own
     odd = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & (1 << 64) - 1 for i in range(words)], np.uint64)
@@ -252,23 +280,60 @@ def bands(count: int, similarity: float, words: int = WIDE) -> np.ndarray:
     return np.array([rng.choice(64 * words, width, replace=False) for _ in range(number)])
 
 
+def exact_links(texts: DataFrame, distinct: DataFrame, groups: DataFrame, similarity: float, words: int, codes) -> DataFrame:
+    """(u, v): trees that join what links of at least ``similarity``, by the shingles themselves, join within groups(node, label).
+
+    distinct(node, code, h1, h2) has the two hashes of a text of texts(text, h1, h2) for each node. Within a group only candidates by their bits are compared.
+    """
+    held = written(distinct.join(groups, "node").select("node", "code", "h1", "h2", F.col("label").alias("bucket")), "candidates")
+    few = held.count() <= BROADCAST_ROWS
+    member = texts.select("text", "h1", "h2").join(F.broadcast(held) if few else held, ["h1", "h2"]).dropDuplicates(["node"])
+
+    def sets(batches):
+        for b in batches:
+            for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
+                found = pa.array([shingles(x.as_py(), words).tobytes() for x in part.column(3)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], found], names=["node", "code", "bucket", "shingles"])
+
+    routed = written(member.select("node", "code", "bucket", "text").mapInArrow(sets, "node long, code binary, bucket long, shingles binary"), "shingles")
+
+    def check(table: pa.Table, order: np.ndarray):
+        column = table.column("shingles")
+        size = pc.binary_length(column).to_numpy()[order] // 8
+        at = order.tolist()
+
+        def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            # sets of too unlike sizes can't reach it
+            out = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6
+            for i in out.nonzero()[0]:
+                x, y = (np.frombuffer(column[at[k]].as_buffer(), "<u8") for k in (a[i], b[i]))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out[i] = both / max(1, len(x) + len(y) - both) >= similarity
+            return out
+
+        return same
+
+    return tree_links(routed, lambda table: codes(table.column("code")), wide_bits(similarity), held.count(), SETS_TILE, check)
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(id, component_id) per row: the smallest id reachable over texts whose estimated Jaccard similarity of word shingles reaches ``similarity``.
+    """(id, component_id) per row: the smallest id reachable over texts whose Jaccard similarity of word shingles reaches ``similarity``.
 
-    The estimate is the share of differing bits of wide fingerprints, so pairs near the threshold fall on either side. Pairs meet in
-    buckets of bands of these bits, whose number follows the number of texts; within a bucket the Gray-order index
-    finds every pair. Nulls, repeated rows and empty tables are as in near_groups().
+    Candidates differ in few bits of wide fingerprints. They meet in buckets of bands of these bits, whose number follows the
+    number of texts; within a bucket the Gray-order index finds every pair. In each group that candidates join, the shingles
+    themselves are compared, and only pairs that reach ``similarity`` are links. Nulls, repeated rows and empty tables are as in near_groups().
     """
 
     def mark(batches):
         for b in batches:
             code = [wide_fingerprint(x.as_py(), words).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary())], names=["id", "code"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary()), b.column(2), b.column(3)], names=["id", "code", "h1", "h2"])
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = written(plain.mapInArrow(mark, f"id {plain.schema['id'].dataType.simpleString()}, code binary"), "wide")
-    distinct = marked.groupBy("code").agg(F.min("id").alias("least"))
-    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    # two hashes stand for a text until its shingles are compared
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    marked = written(plain.mapInArrow(mark, f"id {plain.schema['id'].dataType.simpleString()}, code binary, h1 long, h2 long"), "wide")
+    distinct = marked.groupBy("code").agg(F.min("id").alias("least"), F.min(F.struct("h1", "h2")).alias("h"))
+    distinct = written(distinct.select("code", "least", "h.*").withColumn("node", F.monotonically_increasing_id()), "distinct")
     count = distinct.count()
     places = bands(count, similarity)
 
@@ -286,7 +351,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_
 
     routed = distinct.select("node", "code").mapInArrow(route, "node long, code binary, keys array<long>").select("node", "code", F.explode("keys").alias("bucket"))
     found = tree_links(routed, lambda held: code_rows(held.column("code")), wide_bits(similarity), count * len(places), tile)
-    label = components(found)
+    label = components(exact_links(plain, distinct, components(found), similarity, words, code_rows))
     member = written(distinct.join(label, "node", "left").select("code", "least", F.coalesce("label", "node").alias("label")), "members")
     named = written(member.groupBy("label").agg(F.min("least").alias("component_id")), "named").select(fresh_key("label").alias("key"), "component_id")
     of = written(member.join(named, member["label"] == named["key"]).select("code", "component_id"), "of").select(F.concat("code", F.lit(b"")).alias("key"), "component_id")

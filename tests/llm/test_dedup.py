@@ -166,6 +166,8 @@ def test_similar_groups_are_exact(spark, planted):
     docs = spark.createDataFrame(list(planted.items()), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
     assert [i for i in got if got[i] != i and got[i] != want[i]] == []
+    missed = [i for i in got if got[i] == i and want[i] != i]
+    assert len(missed) <= 0.01 * len(similar), missed
     assert {r["doc_id"] for r in simhash.drop_near(docs).collect()} == set(got.values())
 
 

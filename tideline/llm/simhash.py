@@ -16,6 +16,8 @@ holds more, and no link is lost. Tasks emit a tree for each component they see,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -228,7 +230,9 @@ def near_groups(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "d
 
 
 #: Words of a wide fingerprint, and the share of links at the threshold that its bands must find.
-WIDE, RECALL = 8, 0.95
+WIDE, RECALL = 8, 0.99
+#: Deviations above the mean of differing bits at the threshold up to which pairs are candidates. Sets of few shingles differ more than the angle says (four of five: 96 bits, not 78).
+DEVIATIONS = 5
 #: Texts of one group whose shingles a task holds; larger groups are dealt into tiles.
 SETS_TILE = 1024
 #: A bit's value by byte value and place, to count bits from counts of bytes.
@@ -266,18 +270,22 @@ def wide_fingerprint(text: str | None, n: int = 5, seed: int = 42, words: int =
 
 
 def wide_bits(similarity: float, words: int = WIDE) -> int:
-    """Differing bits up to which two texts count as so similar: what the angle of that Jaccard similarity gives on average, and one deviation, so that five in six pairs at the threshold are linked and nearly all above."""
+    """Differing bits up to which two texts are candidates: what the angle of that Jaccard similarity gives on average, and DEVIATIONS."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(64 * words * p + (64 * words * p * (1 - p)) ** 0.5)
+    return int(64 * words * p + DEVIATIONS * (64 * words * p * (1 - p)) ** 0.5)
 
 
 def bands(count: int, similarity: float, words: int = WIDE) -> np.ndarray:
-    """Places of bits, a row a band: wide enough that a band's bucket holds some ten unlike texts, and so many that a pair at the threshold misses all with a chance of 1 - RECALL."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    width = int(np.clip(np.ceil(np.log2(max(2, count))) - 5, 8, 40))
-    number = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - p) ** width)))
+    """Places of bits, a row a band: wide enough that a band's bucket holds some hundred unlike texts, and so many that pairs at the threshold miss all with a chance of 1 - RECALL, over all numbers of bits in which they may differ."""
+    p, size = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 64 * words
+    width = int(np.clip(np.ceil(np.log2(max(2, count))) - 7, 8, 40))
+    chance = np.array([math.comb(size, d) * p**d * (1 - p) ** (size - d) for d in range(size // 2)])
+    alike = np.array([math.comb(size - d, width) / math.comb(size, width) for d in range(size // 2)])
+    number = 1
+    while chance @ (1 - alike) ** number > 1 - RECALL:
+        number += 1
     rng = np.random.default_rng(7)
-    return np.array([rng.choice(64 * words, width, replace=False) for _ in range(number)])
+    return np.array([rng.choice(size, width, replace=False) for _ in range(number)])
 
 
 def exact_links(texts: DataFrame, distinct: DataFrame, groups: DataFrame, similarity: float, words: int, codes) -> DataFrame:

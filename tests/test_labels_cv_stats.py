@@ -197,3 +197,13 @@ def test_registry(spark, tmp_path):
     reg.log("p", "m", "24h", {"a": [1, 2], "b": np.int64(1)}, {"x": 1.5})
     reg.register("p", "m2", "24h", {"b": 1})
     assert reg.count() == 2 and reg.count(model="m") == 1 and reg.trials(model="m").count() == 2
+
+
+def test_purged_model_folds_takes_all_events(spark, sf, monkeypatch):
+    from tideline.plans import queries
+
+    monkeypatch.setattr(queries.training, "evaluate", lambda frame, *args, **options: frame)
+    frame = queries.purged_model_folds(spark, sf)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert frame.select("event_id").exceptAll(events.select("event_id")).count() == 0
+    assert frame.count() == events.count() > 0

@@ -526,7 +526,7 @@ def sequence_windows(spark, sf):
 def purged_model_folds(spark, sf):
     e = table(spark, sf, "events")
     h = lambda i: F.pmod(F.xxhash64("event_id", F.lit(i)), F.lit(1000)) / 1000.0
-    f = e.where("event_id % 4 = 0").select("event_id", F.col("event_type").alias("asset"), F.col("ts").alias("t0_time"), (F.col("ts") + F.expr("interval 3 hours")).alias("t1_time"), F.col("value").alias("ret_1d"), h(1).alias("rsi_7"), (h(2) - 0.5).alias("ret"), F.lit(1.0).alias("sample_weight"))
+    f = e.select("event_id", F.col("event_type").alias("asset"), F.col("ts").alias("t0_time"), (F.col("ts") + F.expr("interval 3 hours")).alias("t1_time"), F.col("value").alias("ret_1d"), h(1).alias("rsi_7"), (h(2) - 0.5).alias("ret"), F.lit(1.0).alias("sample_weight"))
     f = f.withColumn("label", (F.col("ret_1d") / 100 + h(3) > 0.9).cast("int"))
     return training.evaluate(f, ["ret_1d", "rsi_7"], {"maxIter": 3, "featureSubsetStrategy": "all", "minInstancesPerNode": 10}, folds=3, embargo="interval 6 hours")
 

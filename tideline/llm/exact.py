@@ -32,7 +32,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> Dat
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """(id, keep_id, group_size, kept, len, prefix[, text_sha256]) for every row.
+    """(id, keep_id, group_size, kept, len, prefix, text_sha256 or full) for every row; full is null where no full hash was needed.
 
     Null texts count as empty. Of equal texts the row with the smallest id stays (nulls last; of rows that share
     the smallest id each is marked kept, as they can't be told apart); keep_id is null only if all ids of a group are.
@@ -53,17 +53,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = sig.join(groups, F.col("full") == F.col("k_full"), "left")
     else:
         alone = matched(sig, alive, on, "left_anti")
-        out = left.join(groups, F.col("full") == F.col("k_full"), "left").select("id", "len", "prefix", "keep_id", "group_size")
+        out = left.join(groups, F.col("full") == F.col("k_full"), "left").select("id", "len", "prefix", "full", "keep_id", "group_size")
         out = out.unionByName(alone, allowMissingColumns=True)
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     kept = F.coalesce(F.col("id") == keep, keep.isNull())
-    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "len", "prefix", *([F.col("full").alias("text_sha256")] if digest else []))
+    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "len", "prefix", F.col("full").alias("text_sha256" if digest else "full"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() doesn't keep; columns and rows that stay are as they were."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(id_col, "len", "prefix")
+    """docs without the rows that exact_groups() doesn't keep; columns and rows that stay are as they were.
+
+    A row goes by its id and the full hash of its text together, so other texts under the same id stay.
+    """
+    gone = exact_groups(docs, id_col, text_col).where("not kept").select(id_col, "len", F.unhex("full"))
     text = f"t_{uuid.uuid4().hex}"  # normalised once, under a name that no column has
     held = docs.withColumn(text, normalised(F.col(text_col)))
-    return without(held, gone, [F.col(id_col), F.char_length(text), F.xxhash64(F.substring(text, 1, PREFIX))]).drop(text)
+    return without(held, gone, [F.col(id_col), F.char_length(text), F.unhex(F.sha2(text, 256))]).drop(text)

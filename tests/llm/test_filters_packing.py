@@ -195,7 +195,7 @@ def test_evolution_keeps_all_and_bounds(seed):
     n = (0, 1, 60, 900)[seed]
     lengths = r.integers(1, 100, n)
     first = packing.best_fit(lengths, 100) if n else np.empty(0, int)
-    people = packing.evolve(lengths, 100, seed, []) if n else []
+    people = packing.evolve(lengths, 100, seed, [], children=60) if n else []
     for p in people:
         loads = np.bincount(p, lengths)
         assert len(p) == n and loads.max() <= 100 and loads.min() > 0
@@ -203,6 +203,52 @@ def test_evolution_keeps_all_and_bounds(seed):
         assert people[0].max() <= first.max() and people[0].max() + 1 >= -(-lengths.sum() // 100)
 
 
+@pytest.mark.parametrize(("n", "children"), [(1_000, 80), (10_000, 60), (32_768, 20)])
+def test_the_search_finds_what_no_seed_has(monkeypatch, n, children):
+    lengths = np.random.default_rng(n).integers(1, 1024, n)
+    seeds, crossed = [], []
+    at_random, cross = packing.at_random, packing.cross
+    monkeypatch.setattr(packing, "at_random", lambda *a: seeds.append(at_random(*a)) or seeds[-1])
+    monkeypatch.setattr(packing, "cross", lambda *a: crossed.append(cross(*a)) or crossed[-1])
+    people = packing.evolve(lengths, 1024, 1, [], children)
+    bins = lambda p: int(p.max()) + 1
+    assert len(seeds) == packing.PEOPLE and len(crossed) >= 10
+    assert bins(people[0]) == min(map(bins, crossed)) < min(map(bins, seeds))
+    assert -(-lengths.sum() // 1024) <= bins(people[0]) <= bins(packing.best_fit(lengths, 1024)) * (1 if n < 20_000 else 1.0005)
+    assert packing.evolve(lengths, 1024, 2, people, 3)[0].max() <= people[0].max()
+
+
+def plain_best_fit(lengths, capacity, order):
+    """Bins, one piece at a time, by looking at every open bin."""
+    rooms, out = [], {}
+    for x in order:
+        fits = [(r, -b) for b, r in enumerate(rooms) if r >= lengths[x]]
+        if fits:
+            b = -min(fits)[1]
+        else:
+            b = len(rooms)
+            rooms.append(capacity)
+        rooms[b] -= lengths[x]
+        out[x] = b
+    return len(rooms)
+
+
+def test_best_fit_is_plain_best_fit():
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        lengths = r.integers(1, (12, 100)[seed % 2], 150)
+        assert packing.best_fit(lengths, 100).max() + 1 == plain_best_fit(lengths, 100, np.argsort(-lengths, kind="stable").tolist())
+        order = np.random.default_rng(seed).permutation(150)
+        assert packing.at_random(lengths, 100, np.random.default_rng(seed)).max() + 1 == plain_best_fit(lengths, 100, order.tolist())
+
+
+def test_elites_migrate_by_rank(spark):
+    """The same pieces in other partitions give the same sequences."""
+    df = spark.range(400).select(F.col("id").alias("uid"), (F.pmod(F.xxhash64("id"), F.lit(700)) + 1).alias("length"))
+    a, b = ({r["uid"]: (r["sequence_id"], r["offset"]) for r in packing.pack(df.repartition(n), shard=150).collect()} for n in (1, 7))
+    assert a == b
+
+
 def check_packing(rows, want, capacity=1024):
     """rows as dicts; want: ids by document (repeated rows: once for each)."""
     pieces, bins = {}, {}

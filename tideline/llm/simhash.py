@@ -30,8 +30,8 @@ from tideline.llm.shared import BROADCAST_ROWS, fresh_key, without, written
 
 #: Fingerprints of one bucket that a task takes; larger buckets are dealt into tiles.
 TILE = 4096
-#: Node pairs compared at once in a task: bounds its memory.
-FRONTIER = 1 << 19
+#: Words of 64 bits of the node pairs compared at once in a task: bounds its memory.
+FRONTIER = 1 << 18
 #: Pairs whose shingles are compared before those that they join are passed over.
 CHECKED = 256
 
@@ -85,6 +85,7 @@ class GrayIndex:
     def __init__(self, fp: np.ndarray, key: np.ndarray):
         ranks = [gray_rank(fp)] if fp.ndim == 1 else [gray_rank(fp[:, i]) for i in range(min(2, fp.shape[1]) - 1, -1, -1)]
         self.order = np.lexsort((*ranks, key))
+        self.frontier = max(16, FRONTIER // (1 if fp.ndim == 1 else fp.shape[1]))
         fp, key = fp[self.order], key[self.order]
         # by level, from single fingerprints up: bits set in all, in any; smallest and largest key
         self.levels = [(fp, fp, key, key)]
@@ -126,6 +127,16 @@ class GrayIndex:
                 good = self.check(x, y)
                 self._link(x[good], y[good])
 
+    def _near(self, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+        """Places of the pairs of single fingerprints that differ in at most k bits; of wide ones the first half decides about most."""
+        fp = self.levels[0][0]
+        if fp.ndim == 1:
+            return np.flatnonzero(np.bitwise_count(fp[a] ^ fp[b]) <= k)
+        half = fp.shape[1] // 2
+        first = ones(fp[a, :half] ^ fp[b, :half]) if half else np.zeros(len(a), np.int32)
+        left = np.flatnonzero(first <= k)
+        return left[first[left] + ones(fp[a[left], half:] ^ fp[b[left], half:]) <= k]
+
     def _join(self, level: int, a: np.ndarray, b: np.ndarray, k: int) -> None:
         """Links the members of node pairs (a <= b) of a level."""
         while True:
@@ -134,16 +145,14 @@ class GrayIndex:
             whole = self.whole[level]
             keep &= (whole[a] < 0) | (whole[a] != whole[b])
             a, b = a[keep], b[keep]
+            if level == 0:
+                near = self._near(a, b, k)
+                (self._link if self.check is None else self._checked)(a[near], b[near])
+                return
             differ = every[a] ^ every[b]
             shared = ~(every[a] ^ some[a]) & ~(every[b] ^ some[b])
             keep = ones(differ & shared) <= k
             a, b, differ, shared = a[keep], b[keep], differ[keep], shared[keep]
-            if level == 0:
-                if self.check is None:
-                    self._link(a, b)
-                else:
-                    self._checked(a, b)
-                return
             close = np.zeros(len(a), bool) if self.check else (ones(~shared | differ) <= k) & (low[a] == high[b])
             if close.any():
                 size = 1 << level
@@ -166,10 +175,10 @@ class GrayIndex:
             else:
                 inside = y < len(self.levels[level][0])
             a, b = x[inside], y[inside]
-            if len(a) > FRONTIER:
+            if len(a) > self.frontier:
                 order = np.argsort(b - a, kind="stable")  # neighbours first: what they link is passed over later
-                for at in range(0, len(order), FRONTIER):
-                    part = order[at : at + FRONTIER]
+                for at in range(0, len(order), self.frontier):
+                    part = order[at : at + self.frontier]
                     self._join(level, a[part], b[part], k)
                     self._known()
                 return
@@ -189,20 +198,22 @@ def links(distinct: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     return tree_links(routed, lambda held: held.column("node").to_numpy().view(np.uint64), bits, distinct.count() * (bits + 1), tile)
 
 
-def tree_links(routed: DataFrame, codes, bits: int, rows: int, tile: int = TILE, check=None) -> DataFrame:
+def tree_links(routed: DataFrame, codes, bits: int, total: int, tile: int = TILE, check=None) -> DataFrame:
     """(u, v): trees that join the nodes of routed(node, bucket, ...) which links of at most ``bits`` differing bits join within buckets.
 
-    codes(table) gives the fingerprints of a task's rows; check(table, order), if given, what GrayIndex.labels() asks of a pair. Buckets over a tile's size are dealt into tiles, and each pair of tiles is a task.
+    codes(table) gives the fingerprints of a task's rows; check(table, order), if given, what GrayIndex.labels() asks of a pair. Rows weigh 1 or
+    what their column ``weight`` says, ``total`` in all. Buckets heavier than a tile are dealt into tiles, and each pair of tiles is a task.
     """
-    # at most rows / tile buckets are so large; others are dealt by their key
-    large = routed.groupBy("bucket").count().where(F.col("count") > tile).select(fresh_key("bucket").alias("large"), F.ceil(F.col("count") / tile).cast("int").alias("g"))
+    weight = F.col("weight") if "weight" in routed.columns else F.lit(1)
+    # at most total / tile buckets are so heavy; others are dealt by their key
+    large = routed.groupBy("bucket").agg(F.sum(weight).alias("w")).where(F.col("w") > tile).select(fresh_key("bucket").alias("large"), (F.ceil(F.col("w") / tile) + 1).cast("int").alias("g"))
     large = written(large, "large")
-    spread = routed.join(large, F.col("bucket") == F.col("large"), "left").drop("large")
+    spread = routed.drop("weight").join(large, F.col("bucket") == F.col("large"), "left").drop("large")
     spread = spread.withColumn("mine", F.expr("cast(pmod(xxhash64(node), g) as int)"))
     other = F.when(F.col("g").isNull(), F.array(F.lit(-1))).otherwise(F.expr("filter(sequence(0, g - 1), j -> j <> mine)"))
     tasks = spread.withColumn("other", F.explode(other))
-    # small buckets share tasks of a few tiles' rows
-    shares = max(1, -(-rows // (4 * tile)))
+    # light buckets share tasks of a few tiles' rows
+    shares = max(1, -(-total // (4 * tile)))
     task = F.when(F.col("g").isNull(), F.expr(f"pmod(xxhash64(bucket), {shares})")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
 
     def run(held: pa.Table) -> pa.Table:
@@ -230,11 +241,13 @@ def near_groups(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "d
 
 
 #: Words of a wide fingerprint, and the share of links at the threshold that its bands must find.
-WIDE, RECALL = 8, 0.99
-#: Deviations above the mean of differing bits at the threshold up to which pairs are candidates. Sets of few shingles differ more than the angle says (four of five: 96 bits, not 78).
+WIDE, RECALL = 4, 0.99
+#: Deviations above the mean of differing bits at the threshold up to which pairs are candidates. Sets of few shingles differ more than the angle says (four of five: 48 bits, not 39).
 DEVIATIONS = 5
-#: Texts of one group whose shingles a task holds; larger groups are dealt into tiles.
-SETS_TILE = 1024
+#: Unlike texts that a band's bucket holds on average, as a power of two.
+BUCKET = 6
+#: Bytes of shingles of one group that a task holds; larger groups are dealt into tiles.
+SETS_TILE = 1 << 23
 #: A bit's value by byte value and place, to count bits from counts of bytes.
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -276,9 +289,9 @@ def wide_bits(similarity: float, words: int = WIDE) -> int:
 
 
 def bands(count: int, similarity: float, words: int = WIDE) -> np.ndarray:
-    """Places of bits, a row a band: wide enough that a band's bucket holds some hundred unlike texts, and so many that pairs at the threshold miss all with a chance of 1 - RECALL, over all numbers of bits in which they may differ."""
+    """Places of bits, a row a band: wide enough that a band's bucket holds about 2 ** BUCKET unlike texts, and so many that pairs at the threshold miss all with a chance of 1 - RECALL, over all numbers of bits in which they may differ."""
     p, size = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 64 * words
-    width = int(np.clip(np.ceil(np.log2(max(2, count))) - 7, 8, 40))
+    width = int(np.clip(np.ceil(np.log2(max(2, count))) - BUCKET, 8, 40))
     chance = np.array([math.comb(size, d) * p**d * (1 - p) ** (size - d) for d in range(size // 2)])
     alike = np.array([math.comb(size - d, width) / math.comb(size, width) for d in range(size // 2)])
     number = 1
@@ -288,22 +301,30 @@ def bands(count: int, similarity: float, words: int = WIDE) -> np.ndarray:
     return np.array([rng.choice(size, width, replace=False) for _ in range(number)])
 
 
+#: What names a text: whether its id is null, its id, and two hashes of the text. The smallest name of a group is its representative's.
+NAME = ("none", "id", "h1", "h2")
+
+
 def exact_links(texts: DataFrame, distinct: DataFrame, groups: DataFrame, similarity: float, words: int, codes) -> DataFrame:
     """(u, v): trees that join what links of at least ``similarity``, by the shingles themselves, join within groups(node, label).
 
-    distinct(node, code, h1, h2) has the two hashes of a text of texts(text, h1, h2) for each node. Within a group only candidates by their bits are compared.
+    distinct(node, code, name) names for each node a row of texts(text, *NAME). Within a group only candidates by their bits are compared.
     """
-    held = written(distinct.join(groups, "node").select("node", "code", "h1", "h2", F.col("label").alias("bucket")), "candidates")
-    few = held.count() <= BROADCAST_ROWS
-    member = texts.select("text", "h1", "h2").join(F.broadcast(held) if few else held, ["h1", "h2"]).dropDuplicates(["node"])
+    held = written(distinct.join(groups, "node").select("node", "code", F.col("label").alias("bucket"), "name.*"), "candidates")
+    keys = held.toDF(*held.columns[:3], *[f"k_{c}" for c in NAME])
+    meets = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in NAME]
+    member = texts.join(F.broadcast(keys) if held.count() <= BROADCAST_ROWS else keys, meets[0] & meets[1] & meets[2] & meets[3])
 
     def sets(batches):
         for b in batches:
             for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
-                found = pa.array([shingles(x.as_py(), words).tobytes() for x in part.column(3)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], found], names=["node", "code", "bucket", "shingles"])
+                found = [shingles(x.as_py(), words).tobytes() for x in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], names=["node", "code", "bucket", "shingles"])
 
-    routed = written(member.select("node", "code", "bucket", "text").mapInArrow(sets, "node long, code binary, bucket long, shingles binary"), "shingles")
+    made = member.select("node", "code", "bucket", "text").mapInArrow(sets, "node long, code binary, bucket long, shingles binary")
+    # one row of those that are repeated whole
+    routed = written(made.dropDuplicates(["node"]).withColumn("weight", F.length("shingles") + 256), "shingles")
+    total = routed.agg(F.sum("weight")).first()[0] or 0
 
     def check(table: pa.Table, order: np.ndarray):
         column = table.column("shingles")
@@ -321,27 +342,21 @@ def exact_links(texts: DataFrame, distinct: DataFrame, groups: DataFrame, simila
 
         return same
 
-    return tree_links(routed, lambda table: codes(table.column("code")), wide_bits(similarity), held.count(), SETS_TILE, check)
+    return tree_links(routed, lambda table: codes(table.column("code")), wide_bits(similarity), total, SETS_TILE, check)
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(id, component_id) per row: the smallest id reachable over texts whose Jaccard similarity of word shingles reaches ``similarity``.
-
-    Candidates differ in few bits of wide fingerprints. They meet in buckets of bands of these bits, whose number follows the
-    number of texts; within a bucket the Gray-order index finds every pair. In each group that candidates join, the shingles
-    themselves are compared, and only pairs that reach ``similarity`` are links. Nulls, repeated rows and empty tables are as in near_groups().
-    """
+def named_groups(docs: DataFrame, similarity: float, words: int, id_col: str, text_col: str, tile: int) -> DataFrame:
+    """(*NAME, rep) per row: rep is the smallest name reachable over texts whose Jaccard similarity of word shingles reaches ``similarity``."""
 
     def mark(batches):
         for b in batches:
-            code = [wide_fingerprint(x.as_py(), words).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary()), b.column(2), b.column(3)], names=["id", "code", "h1", "h2"])
-
-    # two hashes stand for a text until its shingles are compared
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    marked = written(plain.mapInArrow(mark, f"id {plain.schema['id'].dataType.simpleString()}, code binary, h1 long, h2 long"), "wide")
-    distinct = marked.groupBy("code").agg(F.min("id").alias("least"), F.min(F.struct("h1", "h2")).alias("h"))
-    distinct = written(distinct.select("code", "least", "h.*").withColumn("node", F.monotonically_increasing_id()), "distinct")
+            code = [wide_fingerprint(x.as_py(), words).tobytes() for x in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(code, pa.binary())], names=[*NAME, "code"])
+
+    plain = docs.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(1), text_col).alias("h2"), F.col(text_col).alias("text"))
+    marked = written(plain.mapInArrow(mark, f"none boolean, id {plain.schema['id'].dataType.simpleString()}, h1 long, h2 long, code binary"), "wide")
+    distinct = marked.groupBy("code").agg(F.min(F.struct(*NAME)).alias("name")).withColumn("node", F.monotonically_increasing_id())
+    distinct = written(distinct, "distinct")
     count = distinct.count()
     places = bands(count, similarity)
 
@@ -360,13 +375,28 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_
     routed = distinct.select("node", "code").mapInArrow(route, "node long, code binary, keys array<long>").select("node", "code", F.explode("keys").alias("bucket"))
     found = tree_links(routed, lambda held: code_rows(held.column("code")), wide_bits(similarity), count * len(places), tile)
     label = components(exact_links(plain, distinct, components(found), similarity, words, code_rows))
-    member = written(distinct.join(label, "node", "left").select("code", "least", F.coalesce("label", "node").alias("label")), "members")
-    named = written(member.groupBy("label").agg(F.min("least").alias("component_id")), "named").select(fresh_key("label").alias("key"), "component_id")
-    of = written(member.join(named, member["label"] == named["key"]).select("code", "component_id"), "of").select(F.concat("code", F.lit(b"")).alias("key"), "component_id")
-    return marked.join(of, marked["code"] == of["key"]).select(F.col("id").alias(id_col), "component_id")
+    member = written(distinct.join(label, "node", "left").select("code", "name", F.coalesce("label", "node").alias("label")), "members")
+    named = written(member.groupBy("label").agg(F.min("name").alias("rep")), "named").select(fresh_key("label").alias("key"), "rep")
+    of = written(member.join(named, member["label"] == named["key"]).select("code", "rep"), "of").select(F.concat("code", F.lit(b"")).alias("key"), "rep")
+    return marked.join(of, marked["code"] == of["key"]).select(*NAME, "rep")
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+    """(id, component_id) per row: the smallest id reachable over texts whose Jaccard similarity of word shingles reaches ``similarity``.
+
+    Candidates differ in few bits of wide fingerprints. They meet in buckets of bands of these bits, whose number follows the
+    number of texts; within a bucket the Gray-order index finds every pair. In each group that candidates join, the shingles
+    themselves are compared, and only pairs that reach ``similarity`` are links. Texts without words are alike. Nulls, repeated rows and empty tables are as in
+    near_groups(); rows that share an id but not the text are texts of their own.
+    """
+    return named_groups(docs, similarity, words, id_col, text_col, tile).select(F.col("id").alias(id_col), F.col("rep.id").alias("component_id"))
 
 
 def drop_near(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each similar_groups() component, that with the smallest id; rows with a null id stay."""
-    gone = similar_groups(docs, similarity, words, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return without(docs, gone, [F.col(id_col)])
+    """docs with one document of each similar_groups() component, that with the smallest id (of the same id: one text); rows with a null id stay.
+
+    A row goes by its id and its text together, so unlike texts under the same id stay. Columns and rows that stay are as they were.
+    """
+    found = named_groups(docs, similarity, words, id_col, text_col, TILE)
+    gone = found.where("not none and (id <> rep.id or h1 <> rep.h1 or h2 <> rep.h2)").select("id", "h1", "h2")
+    return without(docs, gone, [F.col(id_col), F.xxhash64(text_col), F.xxhash64(F.lit(1), text_col)])

@@ -34,13 +34,15 @@ BROADCAST_ROWS = 500_000
 def matched(rows: DataFrame, keys: DataFrame, on: list, how: str) -> DataFrame:
     """rows (how: left_semi) whose expressions ``on`` equal (nulls too) the columns of one of the keys, which are of fixed width; or (left_anti) the others.
 
+    An expression may be a function of the key's column that says whether they fit.
+
     The keys' number is checked: few are broadcast, so rows aren't shuffled. Key columns get names of their own, so no column of rows clashes.
     """
     names = [f"k{i}_{uuid.uuid4().hex}" for i in range(len(keys.columns))]
     keys = written(keys.toDF(*names), "keys")
     meets = None
     for x, n in zip(on, names, strict=True):
-        one = x.eqNullSafe(F.col(n))
+        one = x(F.col(n)) if callable(x) else x.eqNullSafe(F.col(n))
         meets = one if meets is None else meets & one
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, meets, how)
 

@@ -218,3 +218,36 @@ def test_estimates_are_unbiased_and_bounded():
     found, bound = embeddings.Codes(a).estimate(embeddings.Codes(b))
     err = found - a @ b.T
     assert abs(err.mean()) < 0.003 and (np.abs(err) > bound + 0.03).mean() < 1e-3
+
+
+def test_star_edges():
+    u, v = components.star_edges(np.array([0, 0, 2, 0, 2, 5]), np.array([7, 3, 9, 5, 1, 0]))
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(5, 3), (7, 3), (9, 1)]
+
+
+def test_another_text_under_the_same_id_stays(spark):
+    """A and B of equal length and equal first 128 characters; a near copy of A and a text unlike it."""
+    head = " ".join(WORDS[:60])
+    a, b = head + " end one", head + " end two"
+    df = spark.createDataFrame([(3, b), (5, a), (5, b), (7, None), (7, ""), (8, " ")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in exact.drop_copies(df).where("doc_id < 7").collect()) == [(3, b), (5, a)]
+    near, unlike = head + " more", " ".join(WORDS[200:300])
+    df = spark.createDataFrame([(3, head), (5, near), (5, unlike), (6, head + " x"), (None, head), (3, head + " y")], "doc_id long, text string").repartition(3)
+    for rows in (df, df.unionAll(df)):
+        kept = {(r["doc_id"], r["text"]) for r in simhash.drop_near(rows).collect()}
+        assert (5, unlike) in kept and (None, head) in kept and len([k for k in kept if k[0] == 3]) == 1 and len(kept) == 3
+
+
+@pytest.mark.parametrize("parts", [5, 6, 7, 8])
+def test_every_scheme_of_blocks_finds_all_links(spark, parts):
+    r = np.random.default_rng(parts)
+    base = r.integers(-(1 << 63), 1 << 63, 80)
+    fp = np.concatenate([base, *[base ^ np.bitwise_or.reduce(np.int64(1) << r.integers(0, 64, (k, 80)), axis=0) for k in (1, 3, 4, 5)]])
+    fp = np.unique(fp)
+    apart = np.bitwise_count((fp[:, None] ^ fp[None, :]).view(np.uint64))
+    want = smallest(len(fp), [(i, j) for i, j in np.argwhere(apart <= 4).tolist() if j < i])
+    edges = simhash.links(spark.createDataFrame([(int(x),) for x in fp], "fp long"), parts=parts).collect()
+    at = {int(x): i for i, x in enumerate(fp)}
+    assert smallest(len(fp), [(at[e["u"]], at[e["v"]]) for e in edges]) == want
+    assert len(simhash.masks(4, parts)) == [5, 15, 35, 70][parts - 5]
+    assert simhash.scheme(10**6, 4) == simhash.masks(4, 5) and simhash.scheme(10**9, 4) == simhash.masks(4, 7)

@@ -37,6 +37,15 @@ def tree_edges(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[(start + (at - 1) // 2)[child]], order[child.nonzero()[0]]
 
 
+def star_edges(label: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (nodes) from each member of a label to the smallest node with it: where many tasks see parts of one component, most of them name the same few."""
+    least = np.full(len(label), np.iinfo(node.dtype).max, node.dtype)
+    np.minimum.at(least, label, node)
+    to = least[label]
+    away = to != node
+    return node[away], to[away]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every vertex of ``edges(u long, v long)``: label is the smallest vertex of its component.
 

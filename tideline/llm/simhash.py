@@ -1,7 +1,7 @@
 """SimHash near-dedup by a Gray-order hierarchical index.
 
-Fingerprints that differ in at most k of 64 bits agree on at least one of k+1 blocks of bits, so each distinct
-fingerprint goes to k+1 buckets, by block and its bits. In a task the fingerprints of its buckets are sorted by
+Fingerprints that differ in at most k of 64 bits agree on at least one of k+1 blocks of bits, and on at least m-k of m blocks. So each distinct
+fingerprint goes to a bucket for each choice of m-k blocks, by their bits; m grows with the number of fingerprints, so that buckets stay small. In a task the fingerprints of its buckets are sorted by
 bucket and Gray rank, so that neighbours share many bits. A hierarchy stands over them: a node knows the bits all
 fingerprints below share (mask and pattern). Two nodes are compared by the shared bits in which they differ: more
 than k, and all pairs below are cut off at once; if no two members can differ in more than k, they are linked at
@@ -17,6 +17,7 @@ holds more, and no link is lost. Tasks emit a tree for each component they see,
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.components import components, local_labels, tree_edges
+from tideline.llm.components import components, local_labels, star_edges, tree_edges
 from tideline.llm.shared import BROADCAST_ROWS, fresh_key, without, written
 
 #: Fingerprints of one bucket that a task takes; larger buckets are dealt into tiles.
@@ -184,22 +185,35 @@ class GrayIndex:
                 return
 
 
-def blocks(bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of bits + 1 blocks that make up 64 bits."""
-    base, more = divmod(64, bits + 1)
-    widths = [base + (i < more) for i in range(bits + 1)]
-    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+def masks(bits: int, parts: int) -> list[int]:
+    """Masks of 64 bits cut into ``parts`` blocks: of every choice of parts - bits blocks, as fingerprints that differ in at most ``bits`` bits agree on one such choice."""
+    base, more = divmod(64, parts)
+    widths = [base + (i < more) for i in range(parts)]
+    block = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
+    return [sum(block[i] for i in chosen) for chosen in combinations(range(parts), parts - bits)]
 
 
-def links(distinct: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
+def scheme(count: int, bits: int, tile: int = TILE) -> list[int]:
+    """The fewest masks whose buckets hold a fraction of a tile's unlike fingerprints on average: more blocks give more and narrower buckets."""
+    for parts in range(bits + 1, bits + 5):
+        found = masks(bits, parts)
+        if count >> min(m.bit_count() for m in found) <= tile // 8:
+            break
+    return found
+
+
+def links(distinct: DataFrame, bits: int = 4, tile: int = TILE, parts: int | None = None) -> DataFrame:
     """(u, v): edges between fingerprints (column fp) whose components are those of all links of at most ``bits`` differing bits."""
-    keys = F.array(*[F.expr(f"shiftrightunsigned(fp, {at}) & {(1 << w) - 1}L | {i}L << 48") for i, (at, w) in enumerate(blocks(bits))])
+    count = distinct.count()
+    found = masks(bits, parts) if parts else scheme(count, bits, tile)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.array(*[F.xxhash64(F.col("fp").bitwiseAND(F.lit(signed(m))), F.lit(i)) for i, m in enumerate(found)])
     routed = distinct.select(F.col("fp").alias("node"), F.explode(keys).alias("bucket"))
-    return tree_links(routed, lambda held: held.column("node").to_numpy().view(np.uint64), bits, distinct.count() * (bits + 1), tile)
+    return tree_links(routed, lambda held: held.column("node").to_numpy().view(np.uint64), bits, count * len(found), tile)
 
 
-def tree_links(routed: DataFrame, codes, bits: int, total: int, tile: int = TILE, check=None) -> DataFrame:
-    """(u, v): trees that join the nodes of routed(node, bucket, ...) which links of at most ``bits`` differing bits join within buckets.
+def tree_links(routed: DataFrame, codes, bits: int, total: int, tile: int = TILE, check=None, star: bool = False) -> DataFrame:
+    """(u, v): trees (star: stars) that join the nodes of routed(node, bucket, ...) which links of at most ``bits`` differing bits join within buckets.
 
     codes(table) gives the fingerprints of a task's rows; check(table, order), if given, what GrayIndex.labels() asks of a pair. Rows weigh 1 or
     what their column ``weight`` says, ``total`` in all. Buckets heavier than a tile are dealt into tiles, and each pair of tiles is a task.
@@ -218,9 +232,9 @@ def tree_links(routed: DataFrame, codes, bits: int, total: int, tile: int = TILE
 
     def run(held: pa.Table) -> pa.Table:
         index = GrayIndex(codes(held), held.column("bucket").to_numpy())
-        u, v = tree_edges(index.labels(bits, check and check(held, index.order)))
-        node = held.column("node").to_numpy()[index.order]
-        return pa.table({"u": node[u], "v": node[v]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        label, node = index.labels(bits, check and check(held, index.order)), held.column("node").to_numpy()[index.order]
+        u, v = star_edges(label, node) if star else (node[x] for x in tree_edges(label))
+        return pa.table({"u": u, "v": v}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return tasks.withColumn("task", task).drop("g", "mine", "other").groupBy("task").applyInArrow(run, "u long, v long")
 
@@ -342,7 +356,7 @@ def exact_links(texts: DataFrame, distinct: DataFrame, groups: DataFrame, simila
 
         return same
 
-    return tree_links(routed, lambda table: codes(table.column("code")), wide_bits(similarity), total, SETS_TILE, check)
+    return tree_links(routed, lambda table: codes(table.column("code")), wide_bits(similarity), total, SETS_TILE, check, star=True)
 
 
 def named_groups(docs: DataFrame, similarity: float, words: int, id_col: str, text_col: str, tile: int) -> DataFrame:
@@ -373,7 +387,7 @@ def named_groups(docs: DataFrame, similarity: float, words: int, id_col: str, te
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["node", "code", "keys"])
 
     routed = distinct.select("node", "code").mapInArrow(route, "node long, code binary, keys array<long>").select("node", "code", F.explode("keys").alias("bucket"))
-    found = tree_links(routed, lambda held: code_rows(held.column("code")), wide_bits(similarity), count * len(places), tile)
+    found = tree_links(routed, lambda held: code_rows(held.column("code")), wide_bits(similarity), count * len(places), tile, star=True)
     label = components(exact_links(plain, distinct, components(found), similarity, words, code_rows))
     member = written(distinct.join(label, "node", "left").select("code", "name", F.coalesce("label", "node").alias("label")), "members")
     named = written(member.groupBy("label").agg(F.min("name").alias("rep")), "named").select(fresh_key("label").alias("key"), "rep")

@@ -6,15 +6,14 @@ to a uniform chance. One model is learned from all accepted URLs, one from all r
 difference of their log-likelihoods over its length, and it is allowed from a threshold on. The threshold is calibrated on the
 fifth that wasn't learned from, where the shares of wrongly blocked and wrongly allowed ones are least in sum.
 
-A context with the character after it is one whole number, so counts are a table of numbers that grows with the URLs. While it has at most
-MODEL_ROWS rows it is broadcast as sorted arrays and URLs are scored where they are; beyond that, the characters of URLs are joined
-with it. Both give the same scores. Characters from U+01FF on count as one.
+Characters are taken as the bytes of their UTF-8, so all are kept apart and a context is ORDER bytes. A context with the byte after it is one whole number,
+and counts are a table of numbers that grows with the URLs. While it has at most MODEL_ROWS rows it is broadcast as sorted arrays and URLs are scored where
+they are. Beyond that, only contexts that stand before at least one in HOT of all bytes are broadcast, which are few whatever the table's size; places
+whose longer contexts are rarer than that are joined with the counts. Both give the same scores.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,11 +23,13 @@ from tideline.llm.shared import written
 
 #: Longest context, rows of counts that are broadcast at most (16 bytes each), and URLs scored or counted at once.
 ORDER, MODEL_ROWS, BATCH = 5, 3_000_000, 2000
+#: Contexts before at least one in HOT of a model's bytes are broadcast: at most HOT for each length, each with at most 256 bytes after it.
+HOT = 1000
 #: Scores are calibrated in steps of this size.
 STEP = 1e-4
-#: Bits of a character, the last one there is, and the marks of a URL's start and end.
-BITS, LAST, START, END = 9, 511, 2, 3
-UNIFORM = 1 / (LAST + 1)
+#: Bits of a byte, and the marks of a URL's start and end: bytes that UTF-8 never has.
+BITS, START, END = 8, 0xFE, 0xFF
+UNIFORM = 1 / 256
 
 
 #: (host, path prefix, verdict).
@@ -52,11 +53,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def symbols(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """URLs (null: empty) one after the other as numbers, each after ORDER start marks and before an end mark; and the places of their characters and ends."""
+    """URLs (null: empty) one after the other as numbers, each after ORDER start marks and before an end mark; and the places of their bytes and ends."""
     parts, places, at = [], [], 0
     head = np.full(ORDER, START, np.int64)
     for u in urls:
-        code = np.minimum(np.frombuffer((u or "").encode("utf-32-le", "surrogatepass"), "<u4"), LAST).astype(np.int64)
+        code = np.frombuffer((u or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
         parts += [head, code, [END]]
         places.append(np.arange(at + ORDER, at + ORDER + len(code) + 1))
         at += ORDER + len(code) + 1
@@ -64,7 +65,7 @@ def symbols(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(s: np.ndarray, at: np.ndarray):
-    """For each length of context, its number before each place: the length, then the characters, the nearest last."""
+    """For each length of context, its number before each place: the length, then the bytes, the nearest last."""
     context = np.zeros(len(at), np.int64)
     for k in range(ORDER + 1):
         if k:
@@ -73,7 +74,7 @@ def contexts(s: np.ndarray, at: np.ndarray):
 
 
 def keys(urls: list[str | None]) -> np.ndarray:
-    """The number of every context with the character after it, of all lengths."""
+    """The number of every context with the byte after it, of all lengths."""
     s, at = symbols(urls)
     return np.concatenate([c << BITS | s[at] for _, c in contexts(s, at)])
 
@@ -94,18 +95,24 @@ class Markov:
         return cls(*np.unique(keys(urls), return_counts=True)) if urls else cls(np.empty(0, np.int64), np.empty(0, np.int64))
 
     def chances(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The chance of each place's character."""
-        p = np.full(len(at), UNIFORM)
-        if not len(self.key):
-            return p
+        """The chance of each place's byte."""
+        return self.steps(s, at)[0]
+
+    def steps(self, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The chance of each place's byte, and for each length of context whether the model has it."""
+        p, known = np.full(len(at), UNIFORM), []
         for _, c in contexts(s, at):
+            if not len(self.key):
+                known.append(np.zeros(len(at), bool))
+                continue
             i = np.minimum(np.searchsorted(self.context, c), len(self.context) - 1)
             seen = self.context[i] == c  # where a context was seen, so were all shorter ones
             k = c << BITS | s[at]
             j = np.minimum(np.searchsorted(self.key, k), len(self.key) - 1)
             n = np.where(self.key[j] == k, self.n[j], 0)
             p = np.where(seen, (n + self.kinds[i] * p) / (self.total[i] + self.kinds[i]), p)
-        return p
+            known.append(seen)
+        return p, known
 
 
 def ratios(allow: Markov, block: Markov, urls: list[str | None]) -> np.ndarray:
@@ -115,7 +122,7 @@ def ratios(allow: Markov, block: Markov, urls: list[str | None]) -> np.ndarray:
         part = urls[b : b + BATCH]
         s, at = symbols(part)
         x = np.log(allow.chances(s, at)) - np.log(block.chances(s, at))
-        sizes = np.array([len(u or "") + 1 for u in part])
+        sizes = np.array([len((u or "").encode("utf-8", "surrogatepass")) + 1 for u in part])
         out.append(np.add.reduceat(x, np.cumsum(sizes) - sizes) / sizes)
     return np.concatenate(out) if out else np.empty(0)
 
@@ -154,13 +161,18 @@ def counts(labelled: DataFrame) -> DataFrame:
     return written(made.groupBy("allow", "key").agg(F.sum("n").alias("n")), "counts")
 
 
+def sides(model: DataFrame) -> list[Markov]:
+    """The models of accepted and rejected URLs from counts of a bounded number."""
+    held = model.toPandas()
+    allow = held["allow"].astype(bool)
+    return [Markov(p["key"].to_numpy(np.int64), p["n"].to_numpy(np.int64)) for p in (held[allow], held[~allow])]
+
+
 def scored(rows: DataFrame, model: DataFrame, url: str = "url", broadcast_rows: int = MODEL_ROWS) -> DataFrame:
     """rows with the score of their URL (null: empty) by counts()."""
     if model.count() > broadcast_rows:
         return scored_by_join(rows, model, url)
-    held = model.toPandas()
-    side = [Markov(p["key"].to_numpy(np.int64), p["n"].to_numpy(np.int64)) for p in (held[held["allow"]], held[~held["allow"]])]
-    told = rows.sparkSession.sparkContext.broadcast(side)
+    told = rows.sparkSession.sparkContext.broadcast(sides(model))
 
     @F.pandas_udf("double")
     def score(urls):
@@ -171,29 +183,51 @@ def scored(rows: DataFrame, model: DataFrame, url: str = "url", broadcast_rows:
     return rows.withColumn("score", score(F.coalesce(url, F.lit(""))))
 
 
+#: A place whose context isn't hot: the side, the place, the context's length and number, its number with the byte after it, and the chance by hot contexts alone.
+DEEP = pa.struct([("allow", pa.bool_()), ("at", pa.int32()), ("k", pa.int32()), ("context", pa.int64()), ("key", pa.int64()), ("base", pa.float64())])
+
+
 def scored_by_join(rows: DataFrame, model: DataFrame, url: str = "url") -> DataFrame:
-    """As scored(), for models of any size: each distinct URL's characters with their contexts meet the counts by a join."""
-    distinct = written(rows.select(F.coalesce(url, F.lit("")).alias("u")).distinct().withColumn("id", F.monotonically_increasing_id()), "urls")
+    """As scored(), for models of any size: hot contexts are broadcast, and only places with other contexts meet the counts by a join."""
+    totals = model.groupBy("allow", F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    totals = written(totals, "totals")
+    # the empty context stands before every byte
+    every = totals.where("context = 0").select(F.col("allow").alias("side"), F.col("total").alias("all"))
+    hot = totals.join(F.broadcast(every), F.col("allow") == F.col("side")).where(F.col("total") * HOT >= F.col("all")).select(F.col("allow").alias("h_allow"), F.col("context").alias("h_context"))
+    known = model.join(F.broadcast(hot), (F.col("allow") == F.col("h_allow")) & (F.shiftright("key", BITS) == F.col("h_context"))).select("allow", "key", "n")
+    told = rows.sparkSession.sparkContext.broadcast(sides(known))
 
     def spread(batches):
         for b in batches:
-            for i, u in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
-                s, at = symbols([u])
-                for k, c in contexts(s, at):
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([k] * len(at), pa.int32()), pa.array(c, pa.int64()), pa.array(c << BITS | s[at], pa.int64())], names=["id", "at", "k", "context", "key"])
+            for part in (b.slice(at, BATCH) for at in range(0, b.num_rows, BATCH)):
+                urls = part.column(0).to_pylist()
+                s, at = symbols(urls)
+                sizes = np.array([len(u.encode("utf-8", "surrogatepass")) + 1 for u in urls])
+                begins, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(urls)), sizes)
+                score, deep = np.zeros(len(at)), []
+                for allow, m in zip((True, False), told.value, strict=True):
+                    p, seen = m.steps(s, at)
+                    score += np.log(p) if allow else -np.log(p)
+                    for k, c in contexts(s, at):
+                        i = np.flatnonzero(~seen[k])
+                        deep.append((owner[i], np.full(len(i), allow), i - begins[owner[i]], np.full(len(i), k), c[i], c[i] << BITS | s[at[i]], p[i]))
+                columns = [np.concatenate(x) for x in zip(*deep, strict=True)]
+                order = np.argsort(columns[0], kind="stable")
+                held = pa.StructArray.from_arrays([pa.array(x[order], f.type) for x, f in zip(columns[1:], DEEP, strict=True)], fields=list(DEEP))
+                ends = np.r_[0, np.cumsum(np.bincount(columns[0], minlength=len(urls)))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.add.reduceat(score, begins)), pa.array(sizes, pa.int64()), lists], names=["id", "s", "size", "deep"])
 
-    places = distinct.mapInArrow(spread, "id long, at long, k int, context long, key long")
-    sides = rows.sparkSession.createDataFrame([(True,), (False,)], "allow boolean")
-    totals = model.groupBy("allow", F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    met = places.crossJoin(F.broadcast(sides)).join(totals, ["allow", "context"]).join(model, ["allow", "key"], "left")
+    distinct = written(rows.select(F.coalesce(url, F.lit("")).alias("u")).distinct().withColumn("id", F.monotonically_increasing_id()), "urls")
+    places = written(distinct.mapInArrow(spread, "id long, s double, size long, deep array<struct<allow boolean, at int, k int, context long, key long, base double>>"), "places")
+    met = places.select("id", F.explode("deep").alias("d")).select("id", "d.*").join(totals, ["allow", "context"]).join(model, ["allow", "key"], "left")
     # a context that was seen has all shorter ones before it
-    ordered = met.groupBy("id", "at", "allow").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("l"))
-    p = F.aggregate("l", F.lit(UNIFORM), lambda p, x: (x["n"] + x["kinds"] * p) / (x["total"] + x["kinds"]))
-    known = ordered.groupBy("id").agg(F.sum(F.when(F.col("allow"), F.ln(p)).otherwise(-F.ln(p))).alias("s")).withColumnRenamed("id", "known_id")
-    # a model without counts gives every character the uniform chance
-    flat = sum((1 if side else -1) * math.log(UNIFORM) for side in (True, False) if model.where(F.col("allow") == side).isEmpty())
-    n = F.char_length("u") + 1
-    by = distinct.join(known, F.col("id") == F.col("known_id"), "left").select(F.col("u").alias("_key"), ((F.coalesce("s", F.lit(0.0)) + n * F.lit(float(flat))) / n).alias("score"))
+    ordered = met.groupBy("id", "at", "allow").agg(F.first("base").alias("base"), F.sort_array(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "total", "kinds"))).alias("l"))
+    p = F.aggregate("l", F.col("base"), lambda p, x: (x["n"] + x["kinds"] * p) / (x["total"] + x["kinds"]))
+    more = F.ln(p) - F.ln("base")
+    added = ordered.groupBy("id").agg(F.sum(F.when(F.col("allow"), more).otherwise(-more)).alias("more")).withColumnRenamed("id", "more_id")
+    summed = places.select(F.col("id").alias("sum_id"), "s", "size").join(added, F.col("sum_id") == F.col("more_id"), "left")
+    by = distinct.join(summed, F.col("id") == F.col("sum_id")).select(F.col("u").alias("_key"), ((F.col("s") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("score"))
     return rows.join(by, F.coalesce(F.col(url), F.lit("")) == F.col("_key")).drop("_key")
 
 

@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tideline.llm.shared import BROADCAST_ROWS
+from tideline.llm.shared import BROADCAST_ROWS, written
 from tideline.llm.tokens import encoder
 from tideline.session import shared_dir
 
 MAGIC, BLOCK = b"TWM1", 8  # words of 64 bits between two counts
 #: Tokens a file holds at least before the next begins; a file ends with a document.
 SHARD_TOKENS = 1 << 19
+#: Files of a part, about: a part is what one task orders and writes.
+PART_SHARDS = 8
 
 
 def build(tokens: np.ndarray, offsets: np.ndarray, keys: np.ndarray, bits: int | None = None) -> bytes:
@@ -82,17 +84,18 @@ class WaveletMatrix:
         out = int(self.counts[level][block]) + int(np.bitwise_count(plane[block * BLOCK : word]).sum())
         return out + (int(plane[word]) & (1 << bit) - 1).bit_count() if bit else out
 
-    def place(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th (from 0) bit of this kind in a plane."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self.ones(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+    def places(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """The places of the k-th (from 0) bits of this kind in a plane: the block by its count, then the place within its 512 bits."""
+        counts = self.counts[level].astype(np.int64)
+        before = counts if bit else np.arange(len(counts)) * (64 * BLOCK) - counts
+        block = np.minimum(np.searchsorted(before, k, side="right"), len(counts) - 1) - 1
+        plane, out = self.planes[level], np.empty(len(k), np.int64)
+        for at in range(0, len(k), 4096):
+            b = block[at : at + 4096]
+            words = b[:, None] * BLOCK + np.arange(BLOCK)
+            bits = np.unpackbits(plane[np.minimum(words, len(plane) - 1)].view(np.uint8), axis=1, bitorder="little") == bit
+            out[at : at + 4096] = b * (64 * BLOCK) + (np.cumsum(bits, axis=1) > (k[at : at + 4096] - before[b])[:, None]).argmax(1)
+        return out
 
     def access(self, at: int) -> int:
         if not 0 <= at < self.n:
@@ -124,12 +127,19 @@ class WaveletMatrix:
 
     def select(self, token: int, k: int) -> int:
         """The place of a token's k-th occurrence, from 0."""
-        if token >> self.bits or not 0 <= k < self.rank(token):
+        if not 0 <= k < self.rank(token):
             raise IndexError(k)
-        at = self._range(token, self.n)[0] + k
+        return int(self.selected(token, np.array([k]))[0])
+
+    def selected(self, token: int, k: np.ndarray | None = None) -> np.ndarray:
+        """The places of a token's k-th occurrences (none: of all), a level at a time from the last."""
+        if token >> self.bits:
+            return np.empty(0, np.int64)
+        low, high = self._range(token, self.n)
+        at = low + (np.arange(high - low) if k is None else k)
         for level in range(self.bits - 1, -1, -1):
             bit = token >> self.bits - 1 - level & 1
-            at = self.place(level, bit, at - int(self.zeros[level]) if bit else at)
+            at = self.places(level, bit, at - int(self.zeros[level]) if bit else at)
         return at
 
     def tokens(self) -> np.ndarray:
@@ -145,32 +155,46 @@ class WaveletMatrix:
         return now
 
 
+def encoded(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n, ids) of every row, in the shared folder: ids as little-endian numbers of 16 bits, or 32 for a larger vocabulary, with the end id."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        code = encoder(path)
+        last = np.array([] if end_id is None else [end_id], code.dtype)
+        for b in batches:
+            found = [np.append(code.encode(x.as_py()), last).astype(code.dtype) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "n", "ids"])
+
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return written(plain.mapInArrow(run, "id long, n long, ids binary"), "encoded")
+
+
 def shards(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(part, shard, first_id, n_docs, n_tokens, file): documents in ascending order of id, over parts and shards.
 
-    Rows are dealt by ranges of the id (nulls first, written with the key of the smallest long; rows with equal ids may
-    stand in any order). A null text counts as empty; each document ends with end_id, if given.
+    Texts are encoded where they are read; only their ids are dealt by ranges of the document's id, into parts of a few shards (nulls first, written with the key
+    of the smallest long; rows with equal ids may stand in any order). A null text counts as empty; each document ends with end_id, if given.
     """
+    held = encoded(docs, path, end_id, id_col, text_col)
+    parts = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // (PART_SHARDS * shard_tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        code, part, number = encoder(path), None, 0
+        kind, part, number = encoder(path).dtype, None, 0
         keys: list[int] = []
         parts: list[np.ndarray] = []
         ends: list[int] = [0]
-        last = [] if end_id is None else [end_id]
 
         def out():
-            tokens = np.concatenate(parts) if parts else np.empty(0, np.uint16)
+            tokens = np.concatenate(parts) if parts else np.empty(0, kind)
             raw = build(tokens, np.array(ends), np.array(keys, np.int64))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([keys[0]], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([ends[-1]], pa.int64()), pa.array([raw], pa.binary())], names=["part", "shard", "first_id", "n_docs", "n_tokens", "file"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, codes = batch.column(0).to_pylist(), batch.column(1)
             for i, key in enumerate(ids):
                 if part is None:
                     part = batch.column(2)[i].as_py()
-                ids_now = code.encode(texts[i].as_py())
-                parts.append(np.append(ids_now, np.array(last, ids_now.dtype)) if last else ids_now)
+                parts.append(np.frombuffer(codes[i].as_py(), kind))
                 keys.append(-(1 << 63) if key is None else key)
                 ends.append(ends[-1] + len(parts[-1]))
                 if ends[-1] >= shard_tokens:
@@ -179,8 +203,7 @@ def shards(docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id
         if keys:
             yield out()
 
-    conf = docs.sparkSession.conf
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange(int(conf.get("spark.sql.shuffle.partitions")), F.col("id").asc_nulls_first())
+    dealt = held.select("id", "ids").repartitionByRange(parts, F.col("id").asc_nulls_first())
     ordered = dealt.sortWithinPartitions(F.col("id").asc_nulls_first()).withColumn("part", F.spark_partition_id().cast("long"))
     return ordered.mapInArrow(run, "part long, shard long, first_id long, n_docs long, n_tokens long, file binary")
 
@@ -234,7 +257,7 @@ def find_token(held: DataFrame, token: int) -> DataFrame:
         for b in batches:
             for x in b.column(0):
                 m = WaveletMatrix(x.as_py())
-                at = np.array([m.select(token, k) for k in range(m.rank(token))], np.int64)
+                at = m.selected(token)
                 doc = np.searchsorted(m.offsets, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(m.keys[doc], pa.int64()), pa.array(at - m.offsets[doc], pa.int64())], names=["doc_id", "at"])
 

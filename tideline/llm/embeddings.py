@@ -8,7 +8,8 @@ QUANT bits a dimension, so the product is counted on bit planes. Only pairs whos
 threshold are computed again, in double precision.
 
 Equal vectors are one class with a count. The classes of a label are dealt by a hash into tiles, and each pair of a label's
-tiles is a task of its own, so a label that holds most rows spreads over many tasks. Work grows with the square of a label's
+tiles is a task of its own, so a label that holds most rows spreads over many tasks. Tiles grow with the label, up to a bound in bytes, so that a vector is
+sent to few of them. Work grows with the square of a label's
 distinct vectors, as any search without loss over unclustered vectors does; codes make the pair cost a few
 word operations. Tasks emit each vector's number of links in the task, and a tree for each component.
 """
@@ -27,6 +28,8 @@ from tideline.llm.shared import fresh_key, written
 
 #: Vectors of a tile and of a block that is compared at once, bits of a rounded dimension, and half-widths of the confidence bound.
 TILE, BLOCK, QUANT, EPSILON = 4096, 1024, 4, 4.0
+#: A label's vectors are dealt into at least so many tiles before tiles grow, and a tile grows to so many bytes of doubles: a vector is sent to every tile of its label.
+TILES, TILE_BYTES = 16, 1 << 24
 
 
 @lru_cache(maxsize=4)
@@ -96,12 +99,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     usable = F.expr("label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0)")
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    # a key of 64 bits, told apart in the rare case of equal keys by the vector itself below
-    rows = rows.withColumn("digest", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform(v, lambda x: x.cast("string"))), 256)))
+    # vectors whose two hashes of 64 bits agree count as equal
+    hashes = F.concat(*[F.hex(F.xxhash64(F.lit(i), "label", "v")) for i in (0, 1)])
+    rows = rows.withColumn("digest", F.when(F.col("ok"), hashes))
     rows = written(rows, "vectors")
     classes = rows.where("ok").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    sizes = classes.groupBy("label").count().select(F.col("label").alias("of"), F.ceil(F.col("count") / tile).cast("int").alias("g"))
+    most = F.greatest(F.lit(TILE_BYTES) / (8 * F.max(F.size("v"))), F.lit(256.0))
+    of = classes.groupBy("label").agg(F.count("*").alias("count"), most.alias("most"))
+    size = F.least(F.col("most"), F.greatest(F.lit(float(tile)), F.col("count") / TILES))
+    sizes = of.select(F.col("label").alias("of"), F.ceil(F.col("count") / size).cast("int").alias("g"))
     dealt = classes.join(sizes, F.col("label") == F.col("of")).withColumn("mine", F.expr("cast(pmod(xxhash64(node), g) as int)"))
     # a task for each pair of tiles; one of a tile with itself, too
     tasks = dealt.select("label", "mine", "node", "n", "v", F.explode(F.expr("sequence(0, g - 1)")).alias("other"))

@@ -207,3 +207,84 @@ def test_purged_model_folds_takes_all_events(spark, sf, monkeypatch):
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert frame.select("event_id").exceptAll(events.select("event_id")).count() == 0
     assert frame.count() == events.count() > 0
+
+
+def plain_deviation(close, span_days, min_days, day):
+    """The recursion, one return at a time."""
+    out, mean, var, seen, a = [], 0.0, 0.0, 0, 2 / (span_days * day + 1)
+    for t, c in enumerate(close):
+        before = close[t - day] if t >= day else None
+        if c is not None and before is not None:
+            x = float(np.log(c / before))
+            mean, var = (mean + a * (x - mean), (1 - a) * (var + a * (x - mean) ** 2)) if seen else (x, 0.0)
+            seen += 1
+        out.append(var**0.5 if seen >= min_days * day else None)
+    return out
+
+
+def test_volatility_is_the_recursion(spark):
+    r = np.random.default_rng(4)
+    paths = {k: (100 * np.exp(np.cumsum(r.normal(0, 0.01, 700)))).tolist() for k in ("a", "b")}
+    paths["b"][40] = paths["b"][300] = None
+    rows = [(k, i, c, c, c) for k, p in paths.items() for i, c in enumerate(p)]
+    df = spark.createDataFrame(rows, "asset string, idx long, high double, low double, close double")
+    got = {(x["asset"], x["idx"]): x["sigma"] for x in labels.with_volatility(df, span_days=3, min_days=2, day=6).collect()}
+    for k, p in paths.items():
+        for i, want in enumerate(plain_deviation(p, 3, 2, 6)):
+            assert got[k, i] == (None if want is None else pytest.approx(want, rel=1e-9)), (k, i)
+
+
+def plain_cusum(close, h):
+    out, up, down = [], 0.0, 0.0
+    for t in range(1, len(close)):
+        r = np.log(close[t] / close[t - 1])
+        if np.isnan(r):
+            up = down = 0.0
+            continue
+        up, down = max(0.0, up + r), min(0.0, down + r)
+        if up >= h[t]:
+            out.append(t)
+            up = 0.0
+        elif down <= -h[t]:
+            out.append(t)
+            down = 0.0
+    return out
+
+
+def test_cusum_is_the_recursion():
+    for seed in range(30):
+        r = np.random.default_rng(seed)
+        close = 100 * np.exp(np.cumsum(r.normal(0, 0.01, 3000)))
+        close[r.random(3000) < 0.01 * (seed % 2)] = np.nan
+        h = np.where(r.random(3000) < 0.05, np.nan, r.uniform(0.005, 0.06, 3000))
+        assert labels.cusum(close, h) == plain_cusum(close, h)
+
+
+def test_rebalanced_is_the_day_by_day_account(spark):
+    r = np.random.default_rng(9)
+    first = dt.date(2023, 11, 30)
+    days = [first + dt.timedelta(i) for i in range(100)]
+    ret = {"BTC": r.normal(0, 0.03, 100), "ETH": r.normal(0, 0.05, 100)}
+    ret["ETH"][50] = np.nan
+    rows = [(a, d, float(x)) for a, xs in ret.items() for d, x in zip(days, xs, strict=True) if x == x]
+    df = spark.createDataFrame(rows, "asset string, day date, ret double")
+    for start in (first, dt.date(2023, 12, 1), dt.date(2023, 12, 20)):
+        got = {x["day"]: x["net"] for x in backtest.rebalanced(df, ["BTC", "ETH"], score_from=start).collect()}
+        weights, side, want = np.array([0.5, 0.5]), 0.001 + 0.00075, {}
+        for i, d in enumerate(days):
+            if d < start:
+                continue
+            worth = weights * (1 + np.nan_to_num(np.array([ret["BTC"][i], ret["ETH"][i]])))
+            want[d] = worth.sum() - 1 - (side if not want else 0)
+            weights = worth / worth.sum()
+            if d.day == 1:
+                want[d] -= np.abs(weights - 0.5).sum() * side
+                weights = np.array([0.5, 0.5])
+        assert got == pytest.approx(want)
+
+
+def test_canonical():
+    from tideline.plans.registry import canonical
+
+    assert canonical({2: (1, np.float64(1.5)), "a": {3, 1}, True: [np.int64(4), None]}) == {"2": [1, 1.5], "True": [4, None], "a": [1, 3]}
+    assert list(canonical({"b": 1, "a": 2})) == ["a", "b"]

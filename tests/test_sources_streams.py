@@ -169,3 +169,68 @@ def test_streams(spark, tmp_path):
     assert (r["etag"], r["error_count"], r["last_error"]) == ("e1", 1, "boom")
     fresh = {x["feed"]: x["fresh"] for x in flows.freshness({"a": (rows, "at", 48.0), "b": (rows, "at", 1.0)}, T + dt.timedelta(hours=24)).collect()}
     assert fresh == {"a": True, "b": False}
+
+
+def test_the_last_read_bar_stays(spark, tmp_path):
+    rest = "2,0.5,{},10,0,15,3,4,5,0"
+    archive(tmp_path, "a", f"1577836800000,1,{rest.format(1.5)}\n1577836800000,1,{rest.format(1.0)}\n1577840400000,1,{rest.format(9.0)}\n")
+    archive(tmp_path, "b", f"1577840400000,1,{rest.format(2.0)}\n")
+    got = readers.klines(readers.zipped_csv(spark, str(tmp_path), readers.KLINE)).orderBy("open_time").collect()
+    assert [r["close"] for r in got] == [1.0, 2.0]
+
+
+def test_volatility_index_by_currency(spark):
+    rows = [("BTC", [[0.0, 1.0, 2.0, 0.5, 1.5], [0.0, 9.0, 9.0, 9.0, 9.0]]), ("ETH", [[0.0, 3.0, 4.0, 2.5, 3.5]])]
+    got = readers.dvol_rows(spark.createDataFrame(rows, "currency string, data array<array<double>>"), keep=["currency"]).orderBy("currency").collect()
+    assert [(r["currency"], r["dvol_open"]) for r in got] == [("BTC", 1.0), ("ETH", 3.0)]
+
+
+def test_notify(spark):
+    from tideline.sources.notify import Chat, alert_rows
+
+    sent = []
+    chat = Chat("t", "c", lambda url, payload: sent.append(payload))
+    assert chat.send("error: <Response [403]> & more")
+    assert sent[0]["text"] == "error: &lt;Response [403]&gt; &amp; more" and sent[0]["chat_id"] == "c"
+    assert not Chat(None, "c", lambda *_: sent.append(None)).send("x") and len(sent) == 1
+
+    def fails(*_):
+        raise OSError("no route")
+
+    assert not Chat("t", "c", fails).send("x")
+    df = spark.createDataFrame([(f"m{i}",) for i in range(5)] + [(None,)], "message string")
+    assert alert_rows(df.where("message is not null"), chat, most=3) == 4 and [p["text"] for p in sent[1:]] == ["m0", "m1", "m2", "and 2 more"]
+
+
+def test_similar_to_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.standard_normal((60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(60, None), (61, []), (62, [0.0] * 8), (63, [1.0, 2.0]), (64, [None, *[1.0] * 7])]
+    df = spark.createDataFrame(rows, "key long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(0, 60, 2) for j in range(60) if i != j and unit[i] @ unit[j] >= 0.3}
+    for tile in (2048, 7):
+        got = {(g["key"], g["ref"]) for g in dedup.similar_to(df.where("key % 2 = 0"), df, 0.3, tile=tile).collect()}
+        assert got == want
+    assert dedup.similar_to(df.limit(0), df, 0.3).count() == 0
+
+
+def test_artefact_is_bounded(spark):
+    with pytest.raises(ValueError):
+        sinks.artefact(spark.range(5), most=4)
+
+
+def test_decision_counts_are_the_batch_fan_out(spark, tmp_path):
+    from tideline.operators import news
+
+    times = [T, T + dt.timedelta(hours=5), T + dt.timedelta(days=1), T + dt.timedelta(days=30)]
+    df = spark.createDataFrame([(t,) for t in times], "usable_at timestamp")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = flows.run(flows.decision_counts(flows.landed(spark, str(tmp_path / "in"), "usable_at timestamp")), str(tmp_path / "c"), name="fan")
+    q.awaitTermination()
+    got = {r["decision_day"]: r["n"] for r in spark.table("fan").collect()}
+    batch = news.fan_out(df.withColumn("usable_at", F.col("usable_at").cast("timestamp_ntz")), "usable_at").groupBy("decision_day").count().collect()
+    want = {r["decision_day"]: r["count"] for r in batch}
+    assert got == {d: n for d, n in want.items() if d < times[-1]} and len(got) == 8

@@ -32,6 +32,12 @@ def psr(sr: float, t: int, skew: float = 0.0, kurt: float = 3.0, benchmark: floa
     return NORMAL.cdf((sr - benchmark) * math.sqrt(t - 1) / spread)
 
 
+def psr_z(sr: Column, t: Column, skew: Column, kurt: Column, benchmark: float = 0.0) -> Column:
+    """What psr() takes the normal distribution of, as a column."""
+    spread = F.sqrt(F.greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, F.lit(1e-12)))
+    return (sr - benchmark) * F.sqrt(t - 1) / spread
+
+
 def expected_max_sharpe(trials: int, variance: float) -> float:
     """Of that many trials without skill."""
     if trials <= 1:
@@ -79,6 +85,6 @@ def normal_cdf(x: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(v):
-        return v.map(lambda z: None if z != z else 0.5 * math.erfc(-z / math.sqrt(2)))
+        return v.map(lambda z: None if z is None or z != z else 0.5 * math.erfc(-z / math.sqrt(2)))
 
     return run(x)

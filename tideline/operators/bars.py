@@ -15,6 +15,9 @@ from tideline.operators import windows as W
 
 LN2 = math.log(2.0)
 EPS = W.EPS
+#: Columns that bars add up, and all that daily bars have besides their key and day.
+SUMS = ("volume", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote")
+RAW = ("open", "high", "low", "close", *SUMS, "n_bars", "incomplete_day")
 MOMENTUM = (1, 2, 5, 10, 21, 63, 126, 252)
 
 
@@ -25,7 +28,7 @@ def day_of(t: Column) -> Column:
 def to_daily(bars: DataFrame, by: Sequence[str] = ("asset",), at: str = "open_time", tie: str | None = None) -> DataFrame:
     """Daily bars from hourly ones: open and close by time, n_bars, and incomplete_day for fewer than 24. Days without bars are absent."""
     order = F.struct(at, tie) if tie else F.col(at)
-    sums = [c for c in ("volume", "quote_volume", "trades", "taker_buy_base", "taker_buy_quote") if c in bars.columns]
+    sums = [c for c in SUMS if c in bars.columns]
     out = bars.groupBy(*by, day_of(F.col(at)).alias("date")).agg(
         F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"),
         *[F.coalesce(F.sum(c), F.lit(0).cast(bars.schema[c].dataType)).alias(c) for c in sums], F.count("*").alias("n_bars"),

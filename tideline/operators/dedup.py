@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tideline.functions.similarity import cosine
+#: Rows of a tile of queries.
+TILE = 2048
 
 
 def greedy_cosine(pending: DataFrame, recent: DataFrame, threshold: float = 0.87, by: Sequence[str] = (), key: str = "key", vector: str = "vector", at: str = "seen_at") -> DataFrame:
@@ -27,17 +30,25 @@ def greedy_cosine(pending: DataFrame, recent: DataFrame, threshold: float = 0.87
         n = np.linalg.norm(x)
         return x / n if n else x
 
+    def both_sides(*frames: pd.DataFrame):
+        return (v for f in frames for v in f[vector])
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         old = pdf[pdf["_new"] == 0].sort_values([at, key], ascending=[False, True])
         new = pdf[pdf["_new"] == 1].sort_values([at, key])
-        refs, names = [unit(v) for v in old[vector]], old[key].tolist()
+        names, held = old[key].tolist(), len(old)
+        size = max((len(v) for v in both_sides(old, new)), default=0)
+        refs = np.zeros((held + len(new), size))  # rows are filled as they are accepted
+        for i, v in enumerate(old[vector]):
+            refs[i] = unit(v)
         out = []
         for k, v in zip(new[key], new[vector], strict=True):
             x = unit(v)
-            hits = np.flatnonzero(np.array(refs) @ x >= threshold) if refs else []
+            hits = np.flatnonzero(refs[:held] @ x >= threshold)
             out.append(names[hits[0]] if len(hits) else None)
             if not len(hits):
-                refs.append(x)
+                refs[held] = x
+                held += 1
                 names.append(k)
         res = pd.DataFrame({key: new[key].to_numpy(), "duplicate_of": pd.Series(out, dtype="Int64" if kind in ("bigint", "int") else object)})
         for i, b in enumerate(by):
@@ -47,8 +58,31 @@ def greedy_cosine(pending: DataFrame, recent: DataFrame, threshold: float = 0.87
     return both.withColumn("_all", F.lit(0)).groupBy(*(by or ["_all"])).applyInPandas(run, f"{head}{key} {kind}, duplicate_of {kind}")
 
 
-def similar_to(queries: DataFrame, refs: DataFrame, threshold: float, key: str = "key", vector: str = "vector") -> DataFrame:
-    """(key, ref, similarity) of a bounded set of reference rows (at most some hundred: it is broadcast) against all queries."""
-    r = F.broadcast(refs.select(F.col(key).alias("ref"), F.col(vector).alias("_v")))
-    pairs = queries.select(F.col(key), F.col(vector)).join(r, F.col(key) != F.col("ref"))
-    return pairs.select(key, "ref", cosine(F.col(vector), F.col("_v")).alias("similarity")).where(F.col("similarity") >= threshold)
+def similar_to(queries: DataFrame, refs: DataFrame, threshold: float, key: str = "key", vector: str = "vector", tile: int = TILE) -> DataFrame:
+    """(key, ref, similarity) of all pairs of a query and another row of refs whose cosine reaches the threshold, in blocks.
+
+    The queries are dealt into tiles; each row of refs meets every tile, in tasks of about a tile of either side. A task multiplies two matrices
+    of doubles, so none holds more than it was dealt. Null, empty and zero vectors, and vectors of other lengths, match nothing.
+    """
+    count = queries.count()
+    tiles, slices = max(1, -(-count // tile)), max(1, -(-refs.count() // (8 * tile)))
+    left = queries.select(F.lit(0).alias("side"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(tiles)).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"))
+    right = refs.select(F.lit(1).alias("side"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("t"), F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("s"))
+    kind = queries.schema[key].dataType
+    schema = pa.schema([(key, to_arrow_type(kind)), ("ref", to_arrow_type(kind)), ("similarity", pa.float64())])
+
+    def run(held: pa.Table) -> pa.Table:
+        parts = []
+        v = [x if x and None not in x else None for x in held.column("v").to_pylist()]
+        side, k = held.column("side").to_numpy(), held.column("k").to_pylist()
+        for n in {len(x) for x in v if x}:
+            a, b = ([i for i, x in enumerate(v) if x and len(x) == n and side[i] == s] for s in (0, 1))
+            with np.errstate(all="ignore"):
+                x, y = (np.array([v[i] for i in p]).reshape(-1, n) for p in (a, b))
+                x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+                near = x @ y.T
+            i, j = np.nonzero(near >= threshold)
+            parts += [(k[a[p]], k[b[q]], near[p, q]) for p, q in zip(i.tolist(), j.tolist(), strict=True) if k[a[p]] != k[b[q]]]
+        return pa.table(list(map(list, zip(*parts, strict=True))) or [[], [], []], schema=schema)
+
+    return left.unionByName(right).groupBy("t", "s").applyInArrow(run, f"{key} {kind.simpleString()}, ref {kind.simpleString()}, similarity double")

@@ -1,7 +1,7 @@
 """Event labels: volatility, CUSUM sampling, triple barriers, concurrency and sample weights.
 
-Bars are long: (by..., idx, high, low, close[, sigma]), idx numbering the bars of a key from 0. The two recursions, in which each
-step needs the one before, run per key over Arrow; all else is joins and windows.
+Bars are long: (by..., idx, high, low, close[, sigma]), idx numbering the bars of a key from 0. CUSUM sampling, in which each
+step needs the one before, runs per key over Arrow; all else is joins and windows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from tideline.operators import windows as W
 from tideline.operators.ranges import interval_join
 
 K_GRID = (0.5, 0.75, 1.0, 1.25, 1.5)
+#: Columns of labelled events besides their keys.
+FIELDS = ("t0_idx", "t1_idx", "label", "ret", "trgt", "touch", "t0_time", "t1_time", "uniqueness", "w_attrib", "w_decay", "sample_weight", "barrier_mult", "cusum_k")
 #: Fewest and most events, over all keys, that a sampling threshold should give.
 TARGET = (1500, 3200)
 
@@ -39,64 +41,69 @@ def numbered(bars: DataFrame, by: Sequence[str], at: str) -> DataFrame:
     return bars.withColumn("idx", F.row_number().over(W.series(by, at)).cast("long") - 1)
 
 
-def ew_volatility(close: np.ndarray, span_days: int = 100, min_days: int = 30, day: int = 24) -> np.ndarray:
-    """Exponentially weighted deviation of day-long log returns on every bar, from returns that end by then; missing until min_days of them."""
-    out = np.full(len(close), np.nan)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.log(close[day:] / close[:-day]) if len(close) > day else np.empty(0)
-    a, mean, var, seen = 2.0 / (span_days * day + 1), 0.0, 0.0, 0
-    for t, x in enumerate(r.tolist(), day):
-        if x == x:
-            step = x - mean if seen else 0.0
-            mean = mean + a * step if seen else x
-            var = (1 - a) * (var + a * step * step)
-            seen += 1
-        if seen >= min_days * day:
-            out[t] = math.sqrt(var)
-    return out
+def with_volatility(bars: DataFrame, by: Sequence[str] = ("asset",), span_days: int = 100, min_days: int = 30, day: int = 24) -> DataFrame:
+    """Adds sigma to numbered bars: the exponentially weighted deviation of day-long log returns up to a bar; null before min_days of them.
+
+    The first return of a key stands for all that came before it, so it weighs 1 / alpha where others weigh 1; then mean and mean square are plain weighted
+    means over the returns that are there, and a bar without a return keeps the deviation of the bar before.
+    """
+    w, alpha = W.series(by, "idx"), 2.0 / (span_days * day + 1)
+    kept = bars.select(*by, "idx", "high", "low", "close", W.logret(F.col("close").cast("double"), day, w).alias("_r"))
+    r, n = F.col("_r"), F.row_number().over(w)
+    seen = kept.where(r.isNotNull() & ~F.isnan(r)).select(*by, F.col("idx").alias("_at"), r, n.alias("_k"))
+    weight = F.when(F.col("_k") == 1, 1 / alpha).otherwise(1.0)
+    seen = W.ewm(seen, {"_m": (r, alpha, weight), "_q": (r * r, alpha, weight)}, by, "_at")
+    sigma = F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0)))
+    seen = seen.select(*[F.col(b).alias(f"_k_{b}") for b in by], "_at", F.when(F.col("_k") >= min_days * day, sigma).alias("_s"))
+    meets = F.col("idx") == F.col("_at")
+    for b in by:
+        meets &= F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+    held = kept.join(seen, meets, "left")
+    return held.select(*by, "idx", "high", "low", "close", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sigma"))
+
+
+def rises(steps: np.ndarray, level: np.ndarray, barred: np.ndarray) -> list[int]:
+    """Places where the sum of steps stands at least ``level`` above its lowest point since the last such place; barred ones don't count.
+
+    The height above the lowest point is a cumulative sum less its running minimum, so a stretch between two places is a few array operations. A
+    missing step starts anew after it.
+    """
+    found: list[int] = []
+    gaps = np.flatnonzero(np.isnan(steps))
+    for first, last in zip([0, *(gaps + 1)], [*gaps, len(steps)], strict=True):
+        at, height, size = first, 0.0, 64
+        while at < last:
+            part = slice(at, min(at + size, last))
+            total = height + np.cumsum(steps[part])
+            above = total - np.minimum(np.minimum.accumulate(total), 0.0)
+            hits = np.flatnonzero((above >= level[part]) & ~barred[part])
+            if len(hits):
+                at, height, size = at + int(hits[0]) + 1, 0.0, 64
+                found.append(at - 1)
+            else:
+                at, height, size = part.stop, above[-1], min(2 * size, 1 << 14)
+    return found
 
 
 def cusum(close: np.ndarray, threshold: np.ndarray) -> list[int]:
-    """Bars where the summed log returns since the last reset reach the bar's threshold on either side; only the side that fires starts anew.
+    """Bars where log returns have risen, or else fallen, by the bar's threshold since the lowest (highest) point after the last such bar of that side.
 
-    A missing return resets both sides; at a missing threshold nothing can fire.
+    A missing return starts both sides anew; at a missing threshold nothing can fire.
     """
-    fired, up, down = [], 0.0, 0.0
     with np.errstate(divide="ignore", invalid="ignore"):
-        returns = np.diff(np.log(close))
-    for t, (r, h) in enumerate(zip(returns.tolist(), threshold[1:].tolist(), strict=True), 1):
-        if r != r:
-            up = down = 0.0
-            continue
-        up, down = max(0.0, up + r), min(0.0, down + r)
-        if up >= h:
-            fired.append(t)
-            up = 0.0
-        elif down <= -h:
-            fired.append(t)
-            down = 0.0
-    return fired
+        steps = np.diff(np.log(close))
+    barred = np.zeros(len(steps), bool)
+    up = rises(steps, threshold[1:], barred)
+    barred[up] = True
+    return sorted(t + 1 for t in [*up, *rises(-steps, threshold[1:], barred)])
 
 
 def _key_schema(df: DataFrame, by: Sequence[str]) -> str:
     return "".join(f"{b} {df.schema[b].dataType.simpleString()}, " for b in by)
 
 
-def with_volatility(bars: DataFrame, by: Sequence[str] = ("asset",), span_days: int = 100, min_days: int = 30, day: int = 24) -> DataFrame:
-    """Adds sigma to numbered bars."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        pdf["sigma"] = ew_volatility(pdf["close"].to_numpy(float), span_days, min_days, day)
-        return pdf
-
-    kept = bars.select(*by, "idx", "high", "low", "close")
-    out = kept.groupBy(*by).applyInPandas(run, _key_schema(bars, by) + "idx long, high double, low double, close double, sigma double")
-    return out.withColumn("sigma", F.when(~F.isnan("sigma"), F.col("sigma")))
-
-
 def cusum_events(bars: DataFrame, k: Sequence[float], by: Sequence[str] = ("asset",)) -> DataFrame:
-    """(by..., k, idx): sampled bars of numbered bars with sigma, for every threshold k * sigma at once."""
+    """(by..., k, idx): sampled bars of numbered bars with sigma, for every threshold k * sigma at once. Where a side starts anew depends on all before it, so a key is one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")

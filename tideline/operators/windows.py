@@ -78,8 +78,8 @@ def alpha_of(half_life: float | None = None, span: float | None = None, alpha: f
     return 2 / (span + 1) if span is not None else float(alpha)
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple[Column, float]], by: Sequence[str], order: str, min_samples: int = 1) -> DataFrame:
-    """Adds exponentially weighted means: name -> (value, alpha), weights (1 - alpha)^age over the sum of weights of non-null values.
+def ewm(df: DataFrame, columns: dict[str, tuple], by: Sequence[str], order: str, min_samples: int = 1) -> DataFrame:
+    """Adds exponentially weighted means: name -> (value, alpha[, weight]), weights (1 - alpha)^age times the row's own over the sum of weights of non-null values.
 
     Null where the value is null. Rows are numbered and weighed within chunks, with sums running inside a chunk. A chunk is short enough
     that weights don't overflow, and long enough that what lies two chunks back weighs less than a double can tell, so
@@ -87,7 +87,8 @@ def ewm(df: DataFrame, columns: dict[str, tuple[Column, float]], by: Sequence[st
     """
     w = series(by, order)
     groups: list[list[tuple[str, Column, float]]] = []
-    for name, (x, alpha) in sorted(columns.items(), key=lambda c: c[1][1]):
+    own = {name: c[2] for name, c in columns.items() if len(c) > 2}
+    for name, (x, alpha, *_) in sorted(columns.items(), key=lambda c: c[1][1]):
         decay = -math.log(1 - alpha)
         if groups and 40 / groups[-1][0][2] <= 600 / decay:
             groups[-1].append((name, x, decay))
@@ -98,11 +99,11 @@ def ewm(df: DataFrame, columns: dict[str, tuple[Column, float]], by: Sequence[st
     for g, members in enumerate(groups):
         size = max(2, math.floor(600 / members[-1][2]))
         c, j = f"_c{g}", f"_j{g}"
-        out = out.withColumns({c: F.expr(f"_i div {size}"), j: F.col("_i") % size} | {f"_v_{n}": x for n, x, _ in members})
+        out = out.withColumns({c: F.expr(f"_i div {size}"), j: F.col("_i") % size} | {f"_v_{n}": x for n, x, _ in members} | {f"_w_{n}": own[n] for n, _, _ in members if n in own})
         inside = series([*by, c], "_i").rowsBetween(Window.unboundedPreceding, 0)
         sums = {}
         for n, _, decay in members:
-            up = F.when(F.col(f"_v_{n}").isNotNull(), F.exp(F.col(j) * decay))
+            up = F.when(F.col(f"_v_{n}").isNotNull(), F.exp(F.col(j) * decay) * (F.col(f"_w_{n}") if n in own else F.lit(1.0)))
             sums[f"_n_{n}"] = F.coalesce(F.sum(F.col(f"_v_{n}") * up).over(inside), F.lit(0.0)) * F.exp(F.col(j) * -decay)
             sums[f"_d_{n}"] = F.coalesce(F.sum(up).over(inside), F.lit(0.0)) * F.exp(F.col(j) * -decay)
         if min_samples > 1:
@@ -118,7 +119,7 @@ def ewm(df: DataFrame, columns: dict[str, tuple[Column, float]], by: Sequence[st
             there = F.col(f"_v_{n}").isNotNull()
             made[n] = F.when(there & (F.col(f"_s_{n}") >= min_samples) if min_samples > 1 else there, num / den)
         out = out.withColumns(made)
-        drop += [c, j, f"_b{g}", *[f"{k}_{n}" for n, _, _ in members for k in ("_v", "_n", "_d", "_s")]]
+        drop += [c, j, f"_b{g}", *[f"{k}_{n}" for n, _, _ in members for k in ("_v", "_w", "_n", "_d", "_s")]]
     return out.drop(*drop)
 
 

@@ -55,32 +55,37 @@ def newest(spark: SparkSession, pattern: str) -> str:
 
 
 def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], header: str = "auto") -> DataFrame:
-    """All-string rows of CSV files inside zip archives, one task an archive. header: "yes", "no", or "auto" (a first row whose first cell is no number)."""
+    """All-string rows of CSV files inside zip archives, one task an archive, with the place they were read from (file: archive, line). header: "yes", "no", or "auto" (a first row whose first cell is no number)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(frames):
         for pdf in frames:
-            for content in pdf["content"]:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                line = 0
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in z.namelist():
                         part = pd.read_csv(z.open(name), header=None, names=list(columns), dtype=str, usecols=range(len(columns)), keep_default_na=False)
                         first = part.iloc[0, 0] if len(part) else ""
                         if len(part) and (header == "yes" or header == "auto" and not first.lstrip("-").replace(".", "", 1).isdigit()):
                             part = part.iloc[1:]
+                        part.insert(0, "line", range(line, line + len(part)))
+                        part.insert(0, "file", path)
+                        line += len(part)
                         yield part
 
-    return files.mapInPandas(run, ", ".join(f"{c} string" for c in columns))
+    return files.mapInPandas(run, ", ".join(["file string, line long", *(f"{c} string" for c in columns)]))
 
 
 def klines(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Typed bars from string columns; of rows with one open_time the last in file order can't be told, so the greatest is kept."""
+    """Typed bars from string columns; of rows with one open_time the last read stays: the last line of the archive whose name comes last."""
+    read = ["file", "line"]
     typed = raw.select(
-        *keep, from_epoch(F.expr("try_cast(open_time as double)")).alias("open_time"),
+        *keep, *read, from_epoch(F.expr("try_cast(open_time as double)")).alias("open_time"),
         *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("open", "high", "low", "close", "volume", "quote_volume")], F.expr("try_cast(trades as bigint)").alias("trades"),
         *[F.expr(f"try_cast({c} as double)").alias(c) for c in ("taker_buy_base", "taker_buy_quote")],
     ).where("open_time is not null")
-    w = Window.partitionBy(*keep, "open_time").orderBy(*[F.desc(c) for c in ("trades", "volume", "close", "open")])
-    return typed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = Window.partitionBy(*keep, "open_time").orderBy(*[F.desc(c) for c in read])
+    return typed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", *read)
 
 
 def metrics(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -123,10 +128,12 @@ def json_rows(spark: SparkSession, path: str, schema: str, rows: str | None = No
     return held.select(F.explode(rows).alias("r")).select("r.*") if rows else held
 
 
-def dvol_rows(payload: DataFrame, data: str = "data") -> DataFrame:
-    """(time, dvol_open, dvol_high, dvol_low, dvol_close) of arrays [ms, open, high, low, close], the first of a time kept."""
-    r = payload.select(F.explode(data).alias("r")).select(F.timestamp_millis(F.col("r")[0].cast("long")).alias("time"), *[F.col("r")[i + 1].alias(f"dvol_{n}") for i, n in enumerate(("open", "high", "low", "close"))])
-    return r.dropDuplicates(["time"])
+def dvol_rows(payload: DataFrame, data: str = "data", keep: Sequence[str] = ()) -> DataFrame:
+    """(time, dvol_open, dvol_high, dvol_low, dvol_close) of arrays [ms, open, high, low, close] by ``keep``. Of several rows of one time the one that stands first in its payload stays; between payloads, the smallest."""
+    r = payload.select(*keep, F.posexplode(data).alias("_at", "r")).select(*keep, "_at", F.timestamp_millis(F.col("r")[0].cast("long")).alias("time"), *[F.col("r")[i + 1].alias(f"dvol_{n}") for i, n in enumerate(("open", "high", "low", "close"))])
+    values = [c for c in r.columns if c not in (*keep, "time", "_at")]
+    first = F.row_number().over(Window.partitionBy(*keep, "time").orderBy("_at", *values))
+    return r.withColumn("_n", first).where("_n = 1").drop("_n", "_at")
 
 
 def macro_rows(payload: DataFrame, hours_utc: int | None = None) -> DataFrame:

@@ -88,9 +88,11 @@ def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
 
-def artefact(df: DataFrame, key: str | None = None) -> str:
-    """A small result as one JSON text: an array of rows, or an object by ``key``."""
-    rows = df.select(F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("j"), (F.col(key).cast("string") if key else F.lit("")).alias("k")).collect()
+def artefact(df: DataFrame, key: str | None = None, most: int = 10_000) -> str:
+    """A small result as one JSON text: an array of rows, or an object by ``key``. Raises above ``most`` rows; larger ones are for write_json()."""
+    rows = df.limit(most + 1).select(F.to_json(F.struct(*[c for c in df.columns if c != key])).alias("j"), (F.col(key).cast("string") if key else F.lit("")).alias("k")).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one text")
     if key:
         return "{" + ",".join(f'"{k}":{j}' for k, j in sorted((r["k"], r["j"]) for r in rows)) + "}"
     return "[" + ",".join(r["j"] for r in rows) + "]"

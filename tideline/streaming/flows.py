@@ -35,10 +35,10 @@ def daily_bars(ticks: DataFrame, at: str = "ts", price: str = "value", by: Seque
 
 
 def decision_counts(rows: DataFrame, usable: str = "usable_at", late: str = "30 minutes", days: int = 7, by: Sequence[str] = ()) -> DataFrame:
-    """Rows by decision day: a window of ``days`` that slides by a day ends at exactly the midnights with usable < D <= usable + days,
-    once times on a midnight are set a microsecond later."""
-    shifted = utc(rows, usable).withWatermark(usable, late)
-    out = shifted.groupBy(F.window(usable, f"{days} days", "1 day"), *by).agg(F.count("*").alias("n"))
+    """Rows by decision day: a window of ``days`` that slides by a day holds its start and not its end, so it ends at exactly the
+    midnights D with usable < D <= usable + days."""
+    clocked = utc(rows, usable).withWatermark(usable, late)
+    out = clocked.groupBy(F.window(usable, f"{days} days", "1 day"), *by).agg(F.count("*").alias("n"))
     return out.select(F.col("window.end").alias("decision_day"), *by, "n")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tideline.functions.similarity import jaccard
+
 #: Rows of a tile of queries.
 TILE = 2048
 
@@ -86,3 +88,23 @@ def similar_to(queries: DataFrame, refs: DataFrame, threshold: float, key: str =
         return pa.table(list(map(list, zip(*parts, strict=True))) or [[], [], []], schema=schema)
 
     return left.unionByName(right).groupBy("t", "s").applyInArrow(run, f"{key} {kind.simpleString()}, ref {kind.simpleString()}, similarity double")
+
+
+def jaccard_join(sets: DataFrame, threshold: float, key: str = "key", words: str = "w") -> DataFrame:
+    """(a, b, jaccard), a < b: pairs of sets (arrays of distinct words) whose Jaccard similarity reaches the threshold, above 0.
+
+    Sets of n words that are so alike share one of the rarest n - ceil(threshold * n) + 1 words of either (by number of sets, then by
+    name), so only sets that share such a word, and are of like sizes, are compared. Empty and null sets match nothing.
+    """
+    each = sets.select(F.col(key).alias("k"), F.explode(words).alias("x"))
+    rare = each.groupBy("x").agg(F.count("*").alias("n"))
+    ranked = each.join(rare, "x").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("s"))
+    size = F.size("s")
+    keep = size - F.ceil(F.lit(threshold) * size - 1e-9) + 1
+    held = ranked.select("k", F.transform("s", lambda e: e["x"]).alias("w"), size.alias("n"), keep.cast("int").alias("keep"))
+    tokens = held.select("k", "n", F.explode(F.slice("w", 1, F.col("keep"))).alias("t"))
+    a, b = tokens.select(F.col("k").alias("a"), F.col("n").alias("na"), "t"), tokens.select(F.col("k").alias("b"), F.col("n").alias("nb"), "t")
+    like = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
+    pairs = a.join(b, "t").where(like).select("a", "b").distinct()
+    left, right = held.select(F.col("k").alias("a"), F.col("w").alias("wa")), held.select(F.col("k").alias("b"), F.col("w").alias("wb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("jaccard")).where(F.col("jaccard") >= threshold)

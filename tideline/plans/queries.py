@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.functions import clock, similarity, stats, text
+from tideline.functions import clock, stats, text
 from tideline.operators import asof, bars, dedup, labels, matrix, merge, news, regime
 from tideline.operators import windows as W
 from tideline.plans import backtest, cv, dataset, frames, gates, overfit, training
@@ -56,10 +56,7 @@ def incomplete_days(spark, sf):
 @query(f"""SELECT * FROM (SELECT asset, lag(open_time) OVER w AS gap_start, open_time AS gap_end, date_diff('minute', lag(open_time) OVER w, open_time) AS gap_minutes
     FROM ({HOURLY}) WINDOW w AS (PARTITION BY asset ORDER BY open_time)) WHERE gap_minutes > 60""")
 def gap_report(spark, sf):
-    return W.gaps(frames.event_bars(spark, sf).where(F.hour("open_time") % 5 != 3), "open_time", ["asset"], 60)
-
-
-ORACLE["gap_report"] = ORACLE["gap_report"].replace(f"({HOURLY})", f"({HOURLY}) WHERE hour(open_time) % 5 <> 3")
+    return W.gaps(frames.event_bars(spark, sf), "open_time", ["asset"], 60)
 
 
 def _full(expr: str, n: int, agg: str) -> str:
@@ -245,31 +242,32 @@ def revisions(spark, sf):
     return out.select("user_id", "ts", "event_type", F.col("revision_no").cast("int").alias("revision_no"), "status")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS price, o_orderkey % 3 = 0 AS fresh FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN -o_totalprice ELSE o_totalprice END AS price, o_orderstatus <> 'F' AS fresh FROM orders""")
 def merge_keep_last(spark, sf):
+    """Finished and pending orders were known before; open and pending ones come new."""
     o = table(spark, sf, "orders")
-    old = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit(False).alias("fresh"))
-    new = o.where("o_orderkey % 3 = 0").select("o_orderkey", (-F.col("o_totalprice")).alias("price"), F.lit(True).alias("fresh"))
+    old = o.where("o_orderstatus <> 'O'").select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit(False).alias("fresh"))
+    new = o.where("o_orderstatus <> 'F'").select("o_orderkey", (-F.col("o_totalprice")).alias("price"), F.lit(True).alias("fresh"))
     return merge.merge(old, new, ["o_orderkey"], "last")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE -o_totalprice END AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice ELSE -o_totalprice END AS price FROM orders""")
 def merge_keep_first(spark, sf):
     o = table(spark, sf, "orders")
-    old, new = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price")), o.where("o_orderkey % 3 = 0").select("o_orderkey", (-F.col("o_totalprice")).alias("price"))
+    old, new = o.where("o_orderstatus <> 'O'").select("o_orderkey", F.col("o_totalprice").alias("price")), o.where("o_orderstatus <> 'F'").select("o_orderkey", (-F.col("o_totalprice")).alias("price"))
     return merge.merge(old, new, ["o_orderkey"], "first")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_pending(spark, sf):
-    return merge.not_in(table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return merge.not_in(table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query("""SELECT coalesce(a.day, b.day) AS day, a.orders, b.shipped FROM (SELECT o_orderdate::DATE AS day, count(*) AS orders FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) a
-    FULL JOIN (SELECT l_shipdate::DATE AS day, count(*) AS shipped FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1) b ON a.day = b.day""")
+@query("""SELECT coalesce(a.day, b.day) AS day, a.orders, b.shipped FROM (SELECT o_orderdate::DATE AS day, count(*) AS orders FROM orders GROUP BY 1) a
+    FULL JOIN (SELECT l_shipdate::DATE AS day, count(*) AS shipped FROM lineitem GROUP BY 1) b ON a.day = b.day""")
 def full_join_coalesce(spark, sf):
-    a = table(spark, sf, "orders").where("o_orderkey % 3 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"))
-    b = table(spark, sf, "lineitem").where("l_orderkey % 7 = 0").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("shipped"))
+    a = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("orders"))
+    b = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("shipped"))
     return a.join(b, "day", "full")
 
 
@@ -350,12 +348,12 @@ def tone_news_daily(spark, sf):
 
 
 @query("""SELECT day, asset, n, era FROM (SELECT day, asset, n, era, row_number() OVER (PARTITION BY asset, day ORDER BY era) AS k FROM (
-    SELECT o_orderdate::DATE AS day, o_orderpriority AS asset, count(*) AS n, 0 AS era FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2 UNION ALL
-    SELECT o_orderdate::DATE, o_orderpriority, count(*), 1 FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2)) WHERE k = 1""")
+    SELECT o_orderdate::DATE AS day, o_orderpriority AS asset, count(*) AS n, 0 AS era FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2 UNION ALL
+    SELECT o_orderdate::DATE, o_orderpriority, count(*), 1 FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2)) WHERE k = 1""")
 def era_cut_over(spark, sf):
     o = table(spark, sf, "orders")
     part = lambda c, era: o.where(c).groupBy(F.to_date("o_orderdate").alias("decision_day"), F.col("o_orderpriority").alias("asset")).agg(F.count("*").alias("n")).withColumn("era_llm", F.lit(era))
-    return news.cut_over(part("o_orderkey % 3 = 0", 0), part("o_orderkey % 2 = 0", 1), ["asset"]).select(F.col("decision_day").alias("day"), "asset", "n", F.col("era_llm").alias("era"))
+    return news.cut_over(part("o_orderstatus = 'F'", 0), part("o_orderstatus <> 'F'", 1), ["asset"]).select(F.col("decision_day").alias("day"), "asset", "n", F.col("era_llm").alias("era"))
 
 
 DENSE = """SELECT c.asset, c.day, coalesce(n, 0)::BIGINT AS n FROM (SELECT asset, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM ({0}) GROUP BY asset) c LEFT JOIN ({0}) d ON c.asset = d.asset AND c.day = d.day""".format("SELECT o_orderpriority AS asset, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2")
@@ -489,7 +487,7 @@ ONCHAIN = "SELECT date + INTERVAL 1 DAY + INTERVAL 6 HOUR AS published_at, asset
 
 
 @query(f"""WITH d AS ({ORDER_BARS}), s AS (SELECT asset, date, (date + INTERVAL 1 DAY)::TIMESTAMP AS decision_day, ln(close / lag(close) OVER (PARTITION BY asset ORDER BY date)) AS ret_1d FROM d),
-    f AS (SELECT l_returnflag AS flag, date_trunc('day', l_shipdate)::TIMESTAMP AS date, sum(l_discount - 0.05::DOUBLE) AS funding_1d FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
+    f AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS date, sum(l_discount - 0.05::DOUBLE) AS funding_1d FROM lineitem GROUP BY 1),
     o AS ({ONCHAIN})
     SELECT s.asset, s.decision_day, round(ret_1d, 6) AS ret_1d, round(funding_1d, 6) AS funding_1d, round(CASE WHEN coalesce(date_diff('minute', o.published_at, s.decision_day) / 60.0 <= 48, true) THEN tx END, 6) AS oc_tx,
     date_diff('minute', o.published_at, s.decision_day) / 60.0::DOUBLE AS oc_age_h FROM s LEFT JOIN f ON f.date + INTERVAL 1 DAY = s.decision_day
@@ -498,7 +496,7 @@ def feature_matrix(spark, sf):
     daily = frames.order_bars(spark, sf)
     w = W.series(["asset"], "date")
     spine = daily.select("asset", "date", W.logret(F.col("close"), 1, w).alias("ret_1d"))
-    rows = table(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.lit("A").alias("k"), F.col("l_shipdate").alias("funding_time"), (F.col("l_discount") - 0.05).alias("funding_rate"))
+    rows = table(spark, sf, "lineitem").select(F.lit("A").alias("k"), F.col("l_shipdate").alias("funding_time"), (F.col("l_discount") - 0.05).alias("funding_rate"))
     funding = bars.funding_daily(rows, ["k"]).select("date", "funding_1d")
     every = daily.select("asset").distinct()
     chain = daily.where("(unix_date(to_date(date))) % 4 <> 0").groupBy("date", "asset").agg(F.round(F.avg("volume"), 6).alias("tx")).select("asset", (F.col("date") + F.expr("interval 1 day 6 hours")).alias("published_at"), "tx")
@@ -506,10 +504,10 @@ def feature_matrix(spark, sf):
     return out.select("asset", "decision_day", *[F.round(c, 6).alias(c) for c in ("ret_1d", "funding_1d", "oc_tx")], "oc_age_h")
 
 
-@query(f"""SELECT e.event_id, e.asset, e.t0_time, m.decision_day, round(m.close, 6) AS feat FROM (SELECT event_id, event_type AS asset, ts AS t0_time FROM events WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25') e
+@query(f"""SELECT e.event_id, e.asset, e.t0_time, m.decision_day, round(m.close, 6) AS feat FROM (SELECT event_id, event_type AS asset, ts AS t0_time FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-25') e
     ASOF LEFT JOIN (SELECT asset, open_time + INTERVAL 1 DAY AS decision_day, close FROM ({DAILY_EVENTS})) m ON m.asset = e.asset AND e.t0_time >= m.decision_day""")
 def training_frame(spark, sf):
-    ev = table(spark, sf, "events").where("event_type <> 'view' and ts >= timestamp_ntz '2024-01-03'").select("event_id", F.col("event_type").alias("asset"), F.col("ts").alias("t0_time"))
+    ev = table(spark, sf, "events").where("ts >= timestamp_ntz '2024-01-03'").select("event_id", F.col("event_type").alias("asset"), F.col("ts").alias("t0_time"))
     m = frames.event_bars(spark, sf, "day").select("asset", (F.col("open_time") + F.expr("interval 1 day")).alias("decision_day"), F.col("close").alias("feat"))
     out, _ = dataset.training_frame(ev, m, lockbox="2024-01-25", check=False)
     return out.select("event_id", "asset", "t0_time", "decision_day", F.round("feat", 6).alias("feat"))
@@ -679,20 +677,11 @@ def round_trips(spark, sf):
     return backtest.round_trips(_held(spark, sf)).withColumn("pnl", F.round("pnl", 8))
 
 
-@query()
-def backtest_candidates(spark, sf):
-    p = frames.order_bars(spark, sf).select("asset", F.col("date").alias("day"), (F.col("close") * 0 + 100 + F.pmod(F.xxhash64("asset", "date"), F.lit(100)) / 10.0).alias("close"))
-    out = None
-    for name in ("S1_SMA100_HOLD", "S2_DONCH_N20", "VT_5050"):
-        one = backtest.metrics(backtest.run(p, backtest.CANDIDATES[name])).withColumn("name", F.lit(name))
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
-@query("""WITH r AS (SELECT o_orderdate::DATE AS day, round(avg(o_totalprice) / 100000, 6) AS pct FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1), d AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem)
+@query("""WITH r AS (SELECT o_orderdate::DATE AS day, round(avg(o_totalprice) / 100000, 6) AS pct FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1), d AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem)
     SELECT d.day, round(coalesce(r.pct, 0) / 100, 8) AS rate FROM d ASOF LEFT JOIN r ON (d.day - INTERVAL 2 DAY) >= r.day""")
 def cash_rate(spark, sf):
-    r = table(spark, sf, "orders").where("o_orderkey % 5 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice") / 100000, 6).alias("percent"))
+    # no rate is set at weekends
+    r = table(spark, sf, "orders").where(F.weekday("o_orderdate") < 5).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice") / 100000, 6).alias("percent"))
     d = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day")).distinct()
     return backtest.cash_rate(d, r).select("day", F.round("rate", 8).alias("rate"))
 
@@ -700,15 +689,30 @@ def cash_rate(spark, sf):
 # ---- text and similarity
 
 
-@query(r"""SELECT page_id, CASE WHEN len(string_split(s, ' ')) >= 3 THEN s END AS slug FROM (SELECT page_id, lower(replace(regexp_replace(regexp_extract(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '^([^?#]*)', 1), '^.*/', ''), '-', ' ')) AS s
-    FROM (SELECT page_id, 'https://a.example.org/' || (ARRAY['news/bitcoin-hits-new-high-2021', '2021/07/some-story-about-rates-123456', 'en/short-one', 'fed-raises-rates-again.html'])[(page_id % 4 + 1)::INTEGER] AS url FROM pages))""")
-def slug_extract(spark, sf):
-    paths = ["news/bitcoin-hits-new-high-2021", "2021/07/some-story-about-rates-123456", "en/short-one", "fed-raises-rates-again.html"]
-    url = F.concat(F.lit("https://a.example.org/"), F.element_at(F.array(*[F.lit(p) for p in paths]), (F.col("page_id") % 4 + 1).cast("int")))
-    return table(spark, sf, "pages").select("page_id", text.slug(url).alias("slug"))
+#: Every page's URL, and for every document a news URL made of its first nine words, with a year, an id and an ending about them.
+NEWS_URLS = r"""SELECT page_id AS id, 'page' AS kind, url FROM pages UNION ALL SELECT doc_id, 'news', 'https://a.example.org/2021/07/' ||
+    array_to_string(list_slice(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> ''), 1, 9), '-') || '-' || (100000 + doc_id) || '.html' FROM documents"""
+
+
+def news_urls(spark, sf) -> DataFrame:
+    words = F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != ""), 1, 9)
+    made = F.concat(F.lit("https://a.example.org/2021/07/"), F.array_join(words, "-"), F.lit("-"), (F.col("doc_id") + 100000).cast("string"), F.lit(".html"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), "url").unionAll(table(spark, sf, "documents").select("doc_id", F.lit("news"), made))
 
 
-ORACLE["slug_extract"] = """SELECT page_id, (['bitcoin hits new high', 'some story about rates', NULL, 'fed raises rates again'])[(page_id % 4 + 1)::INTEGER] AS slug FROM pages"""
+SLUG = rf"""SELECT id, kind, url, CASE WHEN n >= 3 AND len(string_split(said, ' ')) >= 3 THEN said END AS slug FROM (
+    SELECT *, lower(trim(regexp_replace(regexp_replace(regexp_replace(s, '[-_]+', ' ', 'g'), '\b(19|20)\d{{2}}\b', '', 'g'), '\s+', ' ', 'g'))) AS said FROM (
+    SELECT id, kind, url, s, len(list_filter(string_split_regex(s, '[-_]+'), lambda t: regexp_matches(t, '[a-zA-Z]{{2,}}'))) AS n,
+        row_number() OVER (PARTITION BY id, kind ORDER BY n DESC, place) AS k FROM (
+        SELECT id, kind, url, place, regexp_replace(regexp_replace(regexp_replace(seg, '^[-_]+|[-_]+$', '', 'g'), '^((\d{{4,}}|[0-9a-fA-F]{{6,}})([-_]+|$))+', ''), '((^|[-_]+)(\d{{4,}}|[0-9a-fA-F]{{6,}}))+$', '') AS s FROM (
+            SELECT id, kind, url, unnest(segs) AS seg, unnest(range(len(segs))) AS place FROM (
+                SELECT id, kind, url, list_filter(list_transform(list_filter(string_split(regexp_replace(regexp_extract(url, '^(?:[^:/?#]*://)?[^/?#]*([^?#]*)', 1), '(?i)\.(html?|php|aspx?|shtml|cms|ece|amp)$', ''), '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '^\d+\.', '')),
+                    lambda x: NOT regexp_matches(x, '^((19|20)\d{{2}}|\d{{1,2}})$') AND lower(x) NOT IN ({", ".join(f"'{x}'" for x in text.STOP_SEGMENTS)})) AS segs FROM ({NEWS_URLS}))))) WHERE k = 1)"""
+
+
+@query(f"SELECT u.id, u.kind, slug FROM ({NEWS_URLS}) u LEFT JOIN ({SLUG}) s USING (id, kind)")
+def slug_extract(spark, sf):
+    return news_urls(spark, sf).select("id", "kind", text.slug(F.col("url")).alias("slug"))
 
 
 @query("SELECT page_id, parsed[1] AS host, parsed[2] AS path FROM (SELECT page_id, [regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)] AS parsed FROM pages)")
@@ -723,24 +727,30 @@ def anonymise(spark, sf):
 
 
 @query("""SELECT a.vec_id AS key, b.vec_id AS ref, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
-    WHERE b.vec_id < 20 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
+    WHERE a.vec_id % 50 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
 def cosine_matches(spark, sf):
+    """Searches with every row whose id is divisible by 50 over all rows."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return dedup.similar_to(e, e.where("key < 20"), 0.3).withColumn("similarity", F.round("similarity", 5))
+    return dedup.similar_to(e.where("key % 50 = 0"), e, 0.3).withColumn("similarity", F.round("similarity", 5))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+    near AS MATERIALIZED (SELECT a.label, a.i, list(b.i ORDER BY b.i) AS like FROM e a JOIN e b ON a.label = b.label AND b.i < a.i AND list_cosine_similarity(a.v, b.v) >= 0.35 GROUP BY 1, 2),
+    r AS (SELECT label, 0::BIGINT AS i, []::BIGINT[] AS kept, NULL::BIGINT AS of FROM e GROUP BY label UNION ALL
+        SELECT label, i, CASE WHEN of IS NULL THEN list_append(kept, i) ELSE kept END, of FROM (
+            SELECT r.label, r.i + 1 AS i, r.kept, list_min(list_intersect(coalesce(n.like, []), r.kept)) AS of FROM r JOIN e ON e.label = r.label AND e.i = r.i + 1 LEFT JOIN near n ON n.label = r.label AND n.i = r.i + 1))
+    SELECT r.label, e.vec_id::VARCHAR AS key, o.vec_id::VARCHAR AS duplicate_of FROM r JOIN e ON e.label = r.label AND e.i = r.i LEFT JOIN e o ON o.label = r.label AND o.i = r.of""")
 def greedy_duplicates(spark, sf):
+    """All vectors as one batch a label, nothing accepted before."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"), F.col("vec_id").alias("seen_at"), "label")
-    return dedup.greedy_cosine(e.where("seen_at % 2 = 1"), e.where("seen_at % 2 = 0"), 0.35, ["label"])
+    return dedup.greedy_cosine(e, e.limit(0), 0.35, ["label"])
 
 
 @query("""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS w FROM benchmark)
-    SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id""")
+    SELECT * FROM (SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 6) AS jaccard FROM t a JOIN t b ON a.item_id < b.item_id) WHERE jaccard >= 0.12""")
 def jaccard_pairs(spark, sf):
-    t = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")).alias("w"))
-    a, b = t.select(F.col("item_id").alias("a"), F.col("w").alias("wa")), F.broadcast(t.select(F.col("item_id").alias("b"), F.col("w").alias("wb")))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(similarity.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"))
+    t = table(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")).alias("w"))
+    return dedup.jaccard_join(t, 0.12).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("SELECT event_id, sha256(event_type || chr(10) || coalesce(props, '')) AS h FROM events")
@@ -758,14 +768,22 @@ def score_json(spark, sf):
 ORACLE["score_json"] = "SELECT event_id, round(event_id % 25 / 10.0::DOUBLE - 1.2::DOUBLE, 3) AS sentiment FROM events WHERE round(event_id % 25 / 10.0::DOUBLE - 1.2::DOUBLE, 3) BETWEEN -1 AND 1 AND event_id % 7 BETWEEN 1 AND 5"
 
 
-@query("""SELECT page_id, DATE '2024-01-05' AS date, fund, CASE fund WHEN 'A' THEN -1.5::DOUBLE WHEN 'B' THEN page_id * 1.0::DOUBLE END AS flow_musd FROM pages, (SELECT unnest(['A', 'B', 'C']) AS fund)""")
+@query("""SELECT c_nationkey::BIGINT AS nation, (DATE '2024-01-05' + k::INTEGER) AS date, c_mktsegment AS fund, round(avg(c_acctbal), 1) AS flow_musd
+    FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_custkey % 2 = k GROUP BY 1, 2, 3""")
 def flow_tables(spark, sf):
-    head = "<p>x</p><table><tr><th>Date</th><th>A</th><th>B</th><th>C</th></tr><tr><td>Fee</td><td>1</td></tr><tr><td>05 Jan 2024</td><td>(1.5)</td><td>"
-    html = F.concat(F.lit(head), F.format_number(F.col("page_id").cast("double"), 1), F.lit("</td><td>-</td></tr><tr><td>Total</td><td>3</td></tr></table><table><tr><td>y</td></tr></table>"))
-    return readers.flow_table(table(spark, sf, "pages").select("page_id", html.alias("html")), "html", ["page_id"])
-
-
-@query()
+    """A page for each nation: mean balances by segment, a line for customers of even and one of odd keys; a missing segment is a dash."""
+    c = table(spark, sf, "customer").withColumn("k", F.pmod("c_custkey", F.lit(2)).cast("int"))
+    segments = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # five
+    cells = c.groupBy(F.col("c_nationkey").cast("long").alias("nation"), "k").pivot("c_mktsegment", segments).agg(F.round(F.avg("c_acctbal"), 1))
+    said = lambda x: F.when(x.isNull(), "-").when(x < 0, F.concat(F.lit("("), F.format_number(-x, 1), F.lit(")"))).otherwise(F.format_number(x, 1))
+    row = F.concat(F.lit("<tr><td>"), F.date_format(F.expr("date_add(date '2024-01-05', k)"), "dd MMM yyyy"), F.lit("</td><td>"), F.concat_ws("</td><td>", *[said(F.col(f"`{s}`")) for s in segments]), F.lit("</td></tr>"))
+    pages = cells.groupBy("nation").agg(F.concat_ws("", F.sort_array(F.collect_list(row))).alias("rows"))
+    head = "<p>x</p><table><tr><th>Date</th><th>" + "</th><th>".join(segments) + "</th></tr><tr><td>Fee</td><td>1</td></tr>"
+    html = F.concat(F.lit(head), "rows", F.lit("<tr><td>Total</td><td>3</td></tr></table><table><tr><td>y</td></tr></table>"))
+    return readers.flow_table(pages.select("nation", html.alias("html")), "html", ["nation"]).where("flow_musd is not null")
+
+
+@query("""SELECT * FROM (VALUES ('o_orderstatus', 'missing', 'string', NULL), ('o_totalprice', 'type', 'double', 'float'), ('more', 'unexpected', NULL, 'int')) t("column", kind, expected, found)""")
 def contract_differences(spark, sf):
     blocks = {n: table(spark, sf, n) for n in ("orders", "events")}
     c = contract.build(blocks, "query")
@@ -796,3 +814,5 @@ def decision_fan_out(spark, sf):
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     return feature_matrix(spark, sf)
 
+
+from tideline.plans import queries_backtest, queries_sources  # noqa: E402, F401

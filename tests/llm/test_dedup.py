@@ -113,6 +113,9 @@ def test_gray_index(monkeypatch, frontier):
         c, k = codes[g.order], key[g.order]
         links = [(i, j) for i in range(500) for j in range(i) if k[i] == k[j] and int(np.bitwise_count(c[i] ^ c[j]).sum()) <= 4]
         assert g.labels(4).tolist() == smallest(500, links)
+        known = np.arange(500) // 7
+        joined = smallest(500, links + [(i, i - 1) for i in range(1, 500) if known[i] == known[i - 1]])
+        assert g.labels(4, known=known).tolist() == joined
 
 
 def shingles(t, n=5):

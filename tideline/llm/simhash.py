@@ -95,11 +95,17 @@ class GrayIndex:
             at = np.arange(0, len(every), 2)
             self.levels.append((np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at), low[at], np.maximum.reduceat(high, at)))
 
-    def labels(self, k: int, check=None) -> np.ndarray:
-        """Component labels, by place in order, of the links of at most k differing bits, and (if given) for which check(a, b) of their places holds."""
+    def labels(self, k: int, check=None, known: np.ndarray | None = None) -> np.ndarray:
+        """Component labels, by place in order, of the links of at most k differing bits, and (if given) for which check(a, b) of their places holds.
+
+        What is equal in known (by place in order) is of one component already.
+        """
         n = len(self.levels[0][0])
         self.check = check
         self.label = np.arange(n)
+        if known is not None and n:
+            _, first, group = np.unique(known, return_index=True, return_inverse=True)
+            self.label = first[group]
         if n > 1:
             self._known()
             self._join(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), k)
@@ -215,7 +221,7 @@ def links(distinct: DataFrame, bits: int = 4, tile: int = TILE, parts: int | Non
 def tree_links(routed: DataFrame, codes, bits: int, total: int, tile: int = TILE, check=None, star: bool = False) -> DataFrame:
     """(u, v): trees (star: stars) that join the nodes of routed(node, bucket, ...) which links of at most ``bits`` differing bits join within buckets.
 
-    codes(table) gives the fingerprints of a task's rows; check(table, order), if given, what GrayIndex.labels() asks of a pair. Rows weigh 1 or
+    With a column ``label``, rows of one label count as linked, and u and v are labels. codes(table) gives the fingerprints of a task's rows; check(table, order), if given, what GrayIndex.labels() asks of a pair. Rows weigh 1 or
     what their column ``weight`` says, ``total`` in all. Buckets heavier than a tile are dealt into tiles, and each pair of tiles is a task.
     """
     weight = F.col("weight") if "weight" in routed.columns else F.lit(1)
@@ -232,8 +238,12 @@ def tree_links(routed: DataFrame, codes, bits: int, total: int, tile: int = TILE
 
     def run(held: pa.Table) -> pa.Table:
         index = GrayIndex(codes(held), held.column("bucket").to_numpy())
-        label, node = index.labels(bits, check and check(held, index.order)), held.column("node").to_numpy()[index.order]
+        named = "label" in held.column_names
+        node = held.column("label" if named else "node").to_numpy()[index.order]
+        label = index.labels(bits, check and check(held, index.order), node if named else None)
         u, v = star_edges(label, node) if star else (node[x] for x in tree_edges(label))
+        if named:  # many rows of a label name the same link
+            u, v = np.unique(np.stack([u, v]), axis=1)
         return pa.table({"u": u, "v": v}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     return tasks.withColumn("task", task).drop("g", "mine", "other").groupBy("task").applyInArrow(run, "u long, v long")
@@ -258,6 +268,8 @@ def near_groups(docs: DataFrame, bits: int = 4, words: int = 4, id_col: str = "d
 WIDE, RECALL = 4, 0.99
 #: Deviations above the mean of differing bits at the threshold up to which pairs are candidates. Sets of few shingles differ more than the angle says (four of five: 48 bits, not 39).
 DEVIATIONS = 5
+#: Bands whose links are joined before the others are looked at.
+FIRST = 3
 #: Unlike texts that a band's bucket holds on average, as a power of two.
 BUCKET = 6
 #: Bytes of shingles of one group that a task holds; larger groups are dealt into tiles.
@@ -377,18 +389,30 @@ def named_groups(docs: DataFrame, similarity: float, words: int, id_col: str, te
     def code_rows(column: pa.ChunkedArray) -> np.ndarray:
         return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WIDE)
 
-    def route(batches):
-        up = 1 << np.arange(places.shape[1], dtype=np.int64)
-        for b in batches:
-            code = code_rows(b.column(1))
-            bit = np.unpackbits(code.view(np.uint8), axis=1, bitorder="little")
-            keys = np.stack([bit[:, at].astype(np.int64) @ up | i << 48 for i, at in enumerate(places)], axis=1)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(places)), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["node", "code", "keys"])
-
-    routed = distinct.select("node", "code").mapInArrow(route, "node long, code binary, keys array<long>").select("node", "code", F.explode("keys").alias("bucket"))
-    found = tree_links(routed, lambda held: code_rows(held.column("code")), wide_bits(similarity), count * len(places), tile, star=True)
-    label = components(exact_links(plain, distinct, components(found), similarity, words, code_rows))
+    def linked(nodes: DataFrame, some: range) -> DataFrame:
+        """Components of the links that these bands find among nodes(node, code, label)."""
+
+        def route(batches):
+            up = 1 << np.arange(places.shape[1], dtype=np.int64)
+            for b in batches:
+                bit = np.unpackbits(code_rows(b.column(1)).view(np.uint8), axis=1, bitorder="little")
+                keys = np.stack([bit[:, places[i]].astype(np.int64) @ up | i << 48 for i in some], axis=1)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(some)), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, keys], names=["node", "code", "label", "keys"])
+
+        routed = nodes.mapInArrow(route, "node long, code binary, label long, keys array<long>").select("node", "code", "label", F.explode("keys").alias("bucket"))
+        return components(tree_links(routed, lambda held: code_rows(held.column("code")), wide_bits(similarity), count * len(some), tile, star=True))
+
+    # a few bands join most of a large group, so that the others need not name its links again
+    first = linked(distinct.select("node", "code", F.col("node").alias("label")), range(min(FIRST, len(places)))).withColumnRenamed("node", "at")
+    nodes = distinct.select("node", "code").join(first, F.col("node") == F.col("at"), "left")
+    nodes = written(nodes.select("node", "code", F.coalesce("label", "node").alias("label"), F.col("at").isNotNull().alias("grouped")), "nodes")
+    groups = nodes.select("node", "label", "grouped")
+    if len(places) > FIRST:
+        more = linked(nodes.select("node", "code", "label"), range(FIRST, len(places))).select(fresh_key("node").alias("at"), F.col("label").alias("last"))
+        groups = groups.join(more, F.col("label") == F.col("at"), "left").select("node", F.coalesce("last", "label").alias("label"), (F.col("grouped") | F.col("at").isNotNull()).alias("grouped"))
+    groups = groups.where("grouped").select("node", "label")
+    label = components(exact_links(plain, distinct, groups, similarity, words, code_rows))
     member = written(distinct.join(label, "node", "left").select("code", "name", F.coalesce("label", "node").alias("label")), "members")
     named = written(member.groupBy("label").agg(F.min("name").alias("rep")), "named").select(fresh_key("label").alias("key"), "rep")
     of = written(member.join(named, member["label"] == named["key"]).select("code", "rep"), "of").select(F.concat("code", F.lit(b"")).alias("key"), "rep")

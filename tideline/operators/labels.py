@@ -201,10 +201,10 @@ def calibrated_k(bars: DataFrame, cfg: Barriers, by: Sequence[str] = ("asset",),
     return next((k for k in sorted(grid) if counts.get(k, 0) <= most), max(grid))
 
 
-def generate(bars: DataFrame, cfg: Barriers, k: float | None = None, by: Sequence[str] = ("asset",), at: str = "open_time", until: object = None) -> DataFrame:
+def generate(bars: DataFrame, cfg: Barriers, k: float | None = None, by: Sequence[str] = ("asset",), at: str = "open_time", until: object = None, **volatility) -> DataFrame:
     """Labels with weights and times, from raw bars (by, at, high, low, close); ``until`` cuts events off before weights are taken."""
     held = numbered(bars, by, at)
-    vol = with_volatility(held, by)
+    vol = with_volatility(held, by, **volatility)
     k = calibrated_k(vol, cfg, by) if k is None else k
     times = held.select(*by, F.col("idx").alias("_i"), F.col(at).alias("_t"))
     named = lambda df, i, t: df.join(times.select(*by, F.col("_i").alias(i), F.col("_t").alias(t)), [*by, i])
@@ -219,10 +219,10 @@ def variant_suffix(mult: float, default: float = 1.5) -> str:
     return "" if mult == default else f"_m{round(mult * 10)}"
 
 
-def generate_variants(bars: DataFrame, base: DataFrame, mults: Sequence[float], cfg: Barriers, by: Sequence[str] = ("asset",)) -> dict[str, DataFrame]:
+def generate_variants(bars: DataFrame, base: DataFrame, mults: Sequence[float], cfg: Barriers, by: Sequence[str] = ("asset",), **volatility) -> dict[str, DataFrame]:
     """Label sets for other barrier multiples, by suffix: the default set's k and last event time, so that all sample the same events."""
     known = base.agg(F.first("cusum_k").alias("k"), F.max("t0_time").alias("until")).first()
-    return {variant_suffix(m): generate(bars, Barriers(m, m, cfg.horizon, cfg.vertical, cfg.least), known["k"], by, until=known["until"]) for m in mults}
+    return {variant_suffix(m): generate(bars, Barriers(m, m, cfg.horizon, cfg.vertical, cfg.least), known["k"], by, until=known["until"], **volatility) for m in mults}
 
 
 def summary(labels: DataFrame, by: Sequence[str] = ("asset",)) -> DataFrame:

@@ -217,12 +217,6 @@ def usable_clock(spark, sf):
     return a.select("url_hash", "revision_no", "pit_usable_at", "usable_at", clock.not_late(F.col("usable_at"), F.col("pit_usable_at")).alias("in_time"), clock.is_usable(F.col("usable_at"), at).alias("selected"))
 
 
-@query()
-def release_clock(spark, sf):
-    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("ref", F.date_add("d", 365 * 25))
-    return clock.released_at(days, "ref", F.lit(1), F.lit("16:15")).select("d", "ref", "published_at")
-
-
 # ---- merges
 
 
@@ -404,12 +398,6 @@ def run_lengths(spark, sf):
     return regime.run_lengths(d, "s", "date")
 
 
-@query()
-def headlines(spark, sf):
-    p = table(spark, sf, "pages").select(F.pmod("page_id", F.lit(7)).alias("day"), F.concat("url", F.lit("-crypto-market-news-today")).alias("url"), (F.col("page_id") % 50).alias("n_themes"))
-    return regime.headlines(p)
-
-
 # ---- labels
 
 BAR_IDX = f"SELECT *, row_number() OVER (PARTITION BY asset ORDER BY open_time) - 1 AS idx FROM (SELECT * REPLACE (high + 50 AS high, low + 50 AS low, close + 50 AS close) FROM ({HOURLY}))"
@@ -472,15 +460,6 @@ def cusum_events(spark, sf):
     return labels.cusum_events(_bars(spark, sf), [1.0]).select("asset", "idx")
 
 
-@query()
-def generated_labels(spark, sf):
-    raw = frames.event_bars(spark, sf).withColumns({c: F.col(c) + 50 for c in ("high", "low", "close")})
-    held = labels.numbered(raw, ["asset"], "open_time")
-    vol = labels.with_volatility(held, span_days=10, min_days=2)
-    ev = labels.triple_barrier(labels.cusum_events(vol, labels.K_GRID), vol, labels.Barriers(horizon=24), keep=["k"])
-    return ev.groupBy("asset", "k").agg(F.count("*").alias("events"), F.count_if(F.col("label") == 1).alias("up"), F.count_if(F.col("touch") == "vertical").alias("vertical"))
-
-
 # ---- matrix and training frames
 
 ONCHAIN = "SELECT date + INTERVAL 1 DAY + INTERVAL 6 HOUR AS published_at, asset, round(avg(volume), 6) AS tx FROM ({0}) WHERE (epoch(date)::BIGINT // 86400) % 4 <> 0 GROUP BY date, asset".format(ORDER_BARS)
@@ -720,12 +699,6 @@ def url_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
 
 
-@query()
-def anonymise(spark, sf):
-    t = F.concat(F.lit("Binance and the Arctic Circle in 2021: "), F.coalesce("text", F.lit("")))
-    return table(spark, sf, "benchmark").select("item_id", text.anonymise(t).alias("a")).select("item_id", "a.text", "a.hits")
-
-
 @query("""SELECT a.vec_id AS key, b.vec_id AS ref, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
     WHERE a.vec_id % 50 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
 def cosine_matches(spark, sf):
@@ -815,4 +788,4 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     return feature_matrix(spark, sf)
 
 
-from tideline.plans import queries_backtest, queries_sources  # noqa: E402, F401
+from tideline.plans import queries_backtest, queries_labels, queries_matrix, queries_sources  # noqa: E402, F401

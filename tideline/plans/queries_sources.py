@@ -1 +1,142 @@
-"""Registered queries of readers."""
+"""Registered queries of readers, clocks and text: landed payloads are made from the tables, then read back by the library."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tideline.functions import clock, text
+from tideline.operators import regime
+from tideline.plans import frames
+from tideline.plans.frames import ORDER_BARS, TONE_ROWS, table
+from tideline.plans.queries import SLUG, news_urls, query
+from tideline.sources import readers
+
+
+def archives(lines: DataFrame, by: str, line: str, order: str) -> DataFrame:
+    """(path, content): a zip archive of the lines of each key."""
+
+    @F.pandas_udf("binary")
+    def zipped(bodies: pd.Series) -> pd.Series:
+        out = []
+        for body in bodies:
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("data.csv", body)
+            out.append(raw.getvalue())
+        return pd.Series(out)
+
+    held = lines.groupBy(F.col(by).alias("path")).agg(F.sort_array(F.collect_list(F.struct(order, line))).alias("l"))
+    return held.select("path", zipped(F.array_join(F.transform("l", lambda x: x[line]), "\n")).alias("content"))
+
+
+@query(f"SELECT asset, date AS open_time, open, high, low, close, round(volume, 4) AS volume, trades FROM ({ORDER_BARS})")
+def zipped_bars(spark, sf):
+    """Bars from zipped CSV files without a header, an archive an asset, times in milliseconds."""
+    b = frames.order_bars(spark, sf)
+    ms = F.unix_millis(F.col("date").cast("timestamp"))
+    cells = [ms, *[F.col(c) for c in ("open", "high", "low", "close", "volume")], ms, F.col("quote_volume"), F.col("trades"), F.col("taker_buy_base"), F.col("taker_buy_base"), F.lit(0)]
+    files = archives(b.select("asset", "date", F.concat_ws(",", *[c.cast("string") for c in cells]).alias("line")), "asset", "line", "date")
+    got = readers.klines(readers.unzipped_csv(files, readers.KLINE).withColumn("asset", F.col("file")), ["asset"])
+    return got.select("asset", F.col("open_time").cast("timestamp_ntz").alias("open_time"), "open", "high", "low", "close", F.round("volume", 4).alias("volume"), "trades")
+
+
+LINKS = "CASE event_id % 3 WHEN 0 THEN 'https://a.example/bitcoin-' || event_id WHEN 1 THEN 'https://a.example/ethereum-and-bitcoin-' || event_id ELSE 'https://a.example/weather-' || event_id END"
+
+
+@query(f"""SELECT url, ts AS at, CASE event_id % 3 WHEN 0 THEN 'BTC' ELSE 'BTC,ETH' END AS assets, tone, positive, (length(themes) - length(replace(themes, ';', '')))::INTEGER AS n_themes, themes FROM (
+    SELECT event_id, {LINKS} AS url, date_trunc('second', ts) AS ts FROM events) JOIN (SELECT event_id, tone, positive, coalesce(themes, '') AS themes FROM (SELECT *, event_id FROM (SELECT * EXCLUDE (event_id), event_id FROM (
+        {TONE_ROWS.replace("SELECT ts AS file_time", "SELECT event_id, ts AS file_time")})))) USING (event_id) WHERE event_id % 3 <> 2""")
+def tone_lines(spark, sf):
+    """Tab-separated event lines about an asset; lines about none are never split."""
+    n = F.col("event_id")
+    e = table(spark, sf, "events")
+    link = F.when(n % 3 == 0, F.concat(F.lit("https://a.example/bitcoin-"), n)).when(n % 3 == 1, F.concat(F.lit("https://a.example/ethereum-and-bitcoin-"), n)).otherwise(F.concat(F.lit("https://a.example/weather-"), n))
+    tone = F.concat_ws(",", ((n % 41 - 20) / F.lit(4.0)).cast("string"), (n % 13 / F.lit(2.0)).cast("string"), (n % 17 / F.lit(2.0)).cast("string"), F.lit("1.0"))
+    themes = F.when(n % 4 == 0, "ECON_INFLATION;TAX_FNCACT").when(n % 4 == 1, "CYBER_ATTACK;EPU_POLICY").when(n % 4 == 2, "BANKRUPTCY").otherwise("")
+    cells = [F.lit("")] * 27
+    cells[1], cells[3], cells[4], cells[7], cells[15] = F.date_format("ts", "yyyyMMddHHmmss"), F.lit("src.example"), link, themes, tone
+    got = readers.tone_lines(e.select(F.concat_ws("\t", *cells).alias("value")))
+    return got.select("url", F.col("gkg_time").cast("timestamp_ntz").alias("at"), "assets", "tone", "positive", F.col("n_themes").cast("int").alias("n_themes"), "themes")
+
+
+@query("""SELECT 'https://a.example/' || o_orderkey AS url, 'Order ' || o_orderkey || ' of ' || o_orderpriority AS title, o_orderstatus AS body,
+    CASE WHEN o_orderstatus <> 'P' THEN date_trunc('second', o_orderdate)::TIMESTAMP END AS published_at FROM orders""")
+def feed_items(spark, sf):
+    """Items of an RSS feed for each day; one without a readable date has none."""
+    o = table(spark, sf, "orders")
+    when = F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(F.lit("soon"))
+    title = F.concat(F.lit("<![CDATA[Order <b>"), "o_orderkey", F.lit("</b> of "), "o_orderpriority", F.lit("]]>"))
+    item = F.concat(F.lit("<item><link>https://a.example/"), "o_orderkey", F.lit("</link><title>"), title, F.lit("</title><pubDate>"), when, F.lit("</pubDate><description>"), "o_orderstatus", F.lit("</description></item>"))
+    feeds = o.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.concat(F.lit("<rss>"), F.concat_ws("", F.collect_list(item)), F.lit("</rss>")).alias("xml"))
+    return readers.feed_entries(feeds).select("url", "title", "body", F.col("published_at_utc").cast("timestamp_ntz").alias("published_at"))
+
+
+@query("""SELECT o_orderpriority AS series, o_orderdate::DATE AS date, min(o_totalprice) AS value, o_orderdate::DATE + INTERVAL 9 DAY + INTERVAL 17 HOUR AS published_at
+    FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority, o_orderdate::DATE""")
+def first_prints(spark, sf):
+    """Observations as strings, with dots for missing ones, known a fixed time after their vintage date."""
+    o = table(spark, sf, "orders").withColumn("date", F.to_date("o_orderdate"))
+    value = F.min(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")))
+    rows = o.groupBy(F.col("o_orderpriority").alias("series"), "date").agg(F.coalesce(value.cast("string"), F.lit(".")).alias("value"))
+    rows = rows.select("series", F.col("date").cast("string").alias("date"), "value", F.date_add("date", 9).cast("string").alias("realtime_start"))
+    got = readers.macro_rows(rows, 17)
+    return got.select("series", "date", "value", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+@query("""SELECT DISTINCT l_shipdate::DATE AS report_date, timezone('UTC', timezone('America/New_York', l_shipdate::DATE + INTERVAL 3 DAY + INTERVAL 15 HOUR + INTERVAL 30 MINUTE)) AS published_at FROM lineitem""")
+def weekly_reports(spark, sf):
+    days = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("report_date")).distinct()
+    return readers.report_rows(days).withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
+#: The n-th (from 0) weekday (Monday: 1) from a day on.
+NTH = "({start} + (({weekday} - isodow({start}) + 7) % 7)::INTEGER + 7 * {n})"
+HOLIDAYS = f"""SELECT (d + CASE isodow(d) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END)::DATE AS day FROM (SELECT make_date(y, m, d) AS d FROM range(2019, 2032) t(y), (VALUES (1, 1), (6, 19), (7, 4), (11, 11), (12, 25)) f(m, d))
+    UNION ALL SELECT {NTH.format(start="make_date(y, m, 1)", weekday="w", n="n")}::DATE FROM range(2019, 2032) t(y), (VALUES (1, 1, 2), (2, 1, 2), (9, 1, 0), (10, 1, 1), (11, 4, 3)) f(m, w, n)
+    UNION ALL SELECT (make_date(y, 5, 31) - (isodow(make_date(y, 5, 31)) - 1)::INTEGER)::DATE FROM range(2019, 2032) t(y)"""
+
+
+@query(f"""WITH biz AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT unnest(generate_series(DATE '2019-01-01', DATE '2031-12-31', INTERVAL 1 DAY))::DATE AS day) WHERE isodow(day) < 6 AND day NOT IN ({HOLIDAYS})),
+    r AS (SELECT DISTINCT o_orderdate::DATE AS d, (o_orderdate::DATE + 9125)::DATE AS ref FROM orders), f AS (SELECT d, ref, (SELECT min(n) FROM biz WHERE day >= ref) AS n FROM r)
+    SELECT d, ref, CASE WHEN ref >= DATE '2019-01-01' THEN timezone('UTC', timezone('America/New_York', day + INTERVAL 16 HOUR + INTERVAL 15 MINUTE)) END AS published_at FROM f LEFT JOIN biz ON biz.n = f.n + 1""")
+def release_clock(spark, sf):
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("ref", F.date_add("d", 365 * 25))
+    return clock.released_at(days, "ref", F.lit(1), F.lit("16:15")).select("d", "ref", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
+
+
+NAMES = ("Binance", "FTX", "Coinbase")
+HITS = " + ".join(rf"len(regexp_extract_all(said, '(?i)\b{n}\b'))" for n in NAMES) + r" + len(regexp_extract_all(said, '\b(19|20)\d{2}\b'))"
+
+
+def _replaced(x: str) -> str:
+    for n in NAMES:
+        x = rf"regexp_replace({x}, '(?i)\b{n}\b', '{text.PLACEHOLDERS[n]}', 'g')"
+    return rf"regexp_replace({x}, '\b(19|20)\d{{2}}\b', 'recently', 'g')"
+
+
+@query(f"""SELECT item_id, {_replaced("said")} AS text, ({HITS})::INTEGER AS hits FROM (SELECT item_id, 'Binance, ' || (['FTX', 'coinbase', 'Acme'])[(item_id % 3 + 1)::INTEGER] || ' and the Arctic Circle in 2021: ' || coalesce(text, '') AS said FROM benchmark)""")
+def anonymise(spark, sf):
+    name = F.element_at(F.array(F.lit("FTX"), F.lit("coinbase"), F.lit("Acme")), (F.col("item_id") % 3 + 1).cast("int"))
+    t = F.concat(F.lit("Binance, "), name, F.lit(" and the Arctic Circle in 2021: "), F.coalesce("text", F.lit("")))
+    return table(spark, sf, "benchmark").select("item_id", text.anonymise(t).alias("a")).select("item_id", "a.text", "a.hits")
+
+
+STORIES = f"""SELECT id % 7 AS day, url, max(id % 50) AS rank, any_value(slug) AS slug FROM ({SLUG}) WHERE kind = 'news' AND slug IS NOT NULL GROUP BY 1, 2"""
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT day, rank, slug, day % 2 = 0 AS crypto, list_distinct(string_split(CASE WHEN day % 2 = 0 THEN slug || ' bitcoin' ELSE slug END, ' ')) AS words, row_number() OVER (PARTITION BY day ORDER BY rank DESC, url) AS i FROM ({STORIES})),
+    r AS (SELECT day, 0::BIGINT AS i, []::VARCHAR[][] AS seen, NULL::VARCHAR AS slug, false AS crypto FROM s GROUP BY day UNION ALL
+        SELECT day, i, CASE WHEN good THEN list_append(seen, words) ELSE seen END, CASE WHEN good THEN slug END, crypto FROM (
+            SELECT s.day, s.i, r.seen, s.words, s.slug, s.crypto, len(r.seen) < CASE WHEN s.crypto THEN 15 ELSE 7 END AND len(list_filter(r.seen, lambda x: len(list_intersect(s.words, x)) > 0.55 * len(list_distinct(list_concat(s.words, x))))) = 0 AS good
+            FROM r JOIN s ON s.day = r.day AND s.i = r.i + 1))
+    SELECT day, CASE WHEN crypto THEN 'crypto' ELSE 'macro' END AS kind, (row_number() OVER (PARTITION BY day ORDER BY i) - 1)::INTEGER AS position, CASE WHEN crypto THEN slug || ' bitcoin' ELSE slug END AS headline FROM r WHERE slug IS NOT NULL""")
+def headlines(spark, sf):
+    """The first stories of each of seven days, by rank; those of every other day speak of bitcoin."""
+    u = news_urls(spark, sf).where("kind = 'news'").withColumn("day", F.col("id") % 7).withColumn("n_themes", F.col("id") % 50)
+    spoken = F.when(F.col("day") % 2 == 0, F.regexp_replace("url", r"-(\d+)\.html$", "-bitcoin-$1.html")).otherwise(F.col("url"))
+    return regime.headlines(u.select("day", spoken.alias("url"), "n_themes"))

@@ -56,7 +56,11 @@ def newest(spark: SparkSession, pattern: str) -> str:
 
 def zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], header: str = "auto") -> DataFrame:
     """All-string rows of CSV files inside zip archives, one task an archive, with the place they were read from (file: archive, line). header: "yes", "no", or "auto" (a first row whose first cell is no number)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return unzipped_csv(spark.read.format("binaryFile").load(path).select("path", "content"), columns, header)
+
+
+def unzipped_csv(files: DataFrame, columns: Sequence[str], header: str = "auto") -> DataFrame:
+    """As zipped_csv(), of archives that are rows already: files(path, content)."""
 
     def run(frames):
         for pdf in frames:

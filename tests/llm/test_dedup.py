@@ -254,3 +254,16 @@ def test_every_scheme_of_blocks_finds_all_links(spark, parts):
     assert smallest(len(fp), [(at[e["u"]], at[e["v"]]) for e in edges]) == want
     assert len(simhash.masks(4, parts)) == [5, 15, 35, 70][parts - 5]
     assert simhash.scheme(10**6, 4) == simhash.masks(4, 5) and simhash.scheme(10**9, 4) == simhash.masks(4, 7)
+
+
+def test_scratch_goes(spark, docs):
+    import os
+
+    from tideline.llm.shared import scratch
+    from tideline.session import shared_dir
+
+    folders = lambda: [n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith("run-")]
+    with scratch(spark):
+        n = exact.drop_copies(docs).count()
+        assert len(folders()) == 1
+    assert folders() == [] and n == exact.drop_copies(docs).count()

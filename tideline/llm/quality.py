@@ -22,6 +22,8 @@ from tideline.llm.shared import slices
 
 #: Bytes of a passage; dimensions of an encoding and of the attention; labelled rows of either class that are learned from at most.
 PASSAGE, WIDTH, GATE, SAMPLE = 1024, 16, 8, 1500
+#: Passages of a labelled document that are learned from at most, spread evenly over it; a score always rests on all.
+FITTED = 24
 EPOCHS, RATE, DECAY = 150, 0.01, 1e-4
 #: Kinds of bytes, by their characters; letters, digits and bytes of other characters have kinds of their own.
 KINDS = [" ", "\n", "\t\r\v\f", ".", ",", "!", "?", "#", "$", "%", "&", "*", "|", "'\"`", "-", "_/\\+=~^", ":;", "<>()[]{}", "@"]
@@ -63,6 +65,11 @@ def describe(text: str | None) -> np.ndarray:
     return out
 
 
+def some_passages(rows: np.ndarray) -> np.ndarray:
+    """At most FITTED rows, evenly spread from the first to the last."""
+    return rows if len(rows) <= FITTED else rows[np.linspace(0, len(rows) - 1, FITTED).round().astype(int)]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -140,10 +147,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
 
     def run(batches):
         for b in batches:
-            rows = [describe(x.as_py()) for x in b.column(2)]
+            rows = [some_passages(describe(x.as_py())) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "y", "x"])
 
-    # the sample's size bounds what is broadcast and what comes to the driver
+    # the sample's size and FITTED bound what is broadcast and what comes to the driver
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(some), F.col("id") == F.col("k_id")).select(F.col("id").cast("string").alias("id"), "y", "text")
     bags = sorted((r["id"], r["y"], bytes(r["x"])) for r in joined.mapInArrow(run, "id string, y int, x binary").collect())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +12,30 @@ from pyspark.sql import functions as F
 from tideline.session import shared_dir
 
 
+#: The folder of tables within the shared one.
+_folder: ContextVar[str] = ContextVar("folder", default="")
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within stand in one folder of the shared one, which goes at the end. Results read them lazily: write those before.
+
+    with scratch(spark): corpus_pipeline.run(spark, folder).write.parquet(out)
+    """
+    name = f"/run-{uuid.uuid4().hex}"
+    token = _folder.set(name)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark) + name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and a lost executor costs only a new read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}{_folder.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from compare import same
 
 from tideline.plans.queries import ORACLE, QUERIES
 
-SLOW = {"purged_model_folds", "backtest_candidates"}
+SLOW = {"purged_model_folds"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -234,3 +234,21 @@ def test_decision_counts_are_the_batch_fan_out(spark, tmp_path):
     batch = news.fan_out(df.withColumn("usable_at", F.col("usable_at").cast("timestamp_ntz")), "usable_at").groupBy("decision_day").count().collect()
     want = {r["decision_day"]: r["count"] for r in batch}
     assert got == {d: n for d, n in want.items() if d < times[-1]} and len(got) == 8
+
+
+def test_copies_as_a_stream(spark, tmp_path):
+    """Batches one after the other give what one greedy pass gives."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = r.standard_normal((6, 4))
+    rows = [("k", f"n{i:02d}", (base[i % 6] + r.standard_normal(4) * 0.2).tolist(), T + dt.timedelta(hours=i)) for i in range(30)]
+    s = "key string, name string, vector array<double>, at timestamp"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 10 : k * 10 + 10], s).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    source = spark.readStream.schema(s).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    flows.run(flows.copies(source, "key", "name", "vector", "at", 0.9), str(tmp_path / "c"), name="copies").awaitTermination()
+    got = {x["name"]: x["duplicate_of"] for x in spark.table("copies").collect()}
+    one = spark.createDataFrame([(n, v, i) for i, (_, n, v, _) in enumerate(rows)], "key string, vector array<double>, seen_at int")
+    want = {x["key"]: x["duplicate_of"] for x in dedup.greedy_cosine(one, one.limit(0), 0.9).collect()}
+    assert got == want and any(want.values())

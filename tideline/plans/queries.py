@@ -501,6 +501,7 @@ def sequence_windows(spark, sf):
 
 @query()
 def purged_model_folds(spark, sf):
+    """Boosted trees of the library's ML part by purged folds; which events a fold trains and tests on is the query after this."""
     e = table(spark, sf, "events")
     h = lambda i: F.pmod(F.xxhash64("event_id", F.lit(i)), F.lit(1000)) / 1000.0
     f = e.select("event_id", F.col("event_type").alias("asset"), F.col("ts").alias("t0_time"), (F.col("ts") + F.expr("interval 3 hours")).alias("t1_time"), F.col("value").alias("ret_1d"), h(1).alias("rsi_7"), (h(2) - 0.5).alias("ret"), F.lit(1.0).alias("sample_weight"))
@@ -508,6 +509,14 @@ def purged_model_folds(spark, sf):
     return training.evaluate(f, ["ret_1d", "rsi_7"], {"maxIter": 3, "featureSubsetStrategy": "all", "minInstancesPerNode": 10}, folds=3, embargo="interval 6 hours")
 
 
+@query("""WITH e AS (SELECT event_id, ts AS t0, ts + INTERVAL 3 HOUR AS t1, ntile(3) OVER (ORDER BY ts, event_id) - 1 AS fold FROM events), f AS (SELECT fold AS split, min(t0) AS s, max(t1) AS z FROM e GROUP BY 1)
+    SELECT split::INTEGER AS split, CASE WHEN fold = split THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM e, f
+    WHERE fold = split OR NOT ((t0 <= z AND t1 >= s) OR (t0 > z AND t0 <= z + INTERVAL 6 HOUR)) GROUP BY 1, 2""")
+def purged_fold_sizes(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("t0"), (F.col("ts") + F.expr("interval 3 hours")).alias("t1"))
+    return cv.purged_kfold(e, 3, "interval 6 hours").groupBy("split", "role").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT o_orderkey, round(1 - CASE WHEN x < 0 THEN 0.1 WHEN x >= 4 THEN 0.9 ELSE 0.1 + 0.2 * floor(x) + 0.2 * (x - floor(x)) END, 6) AS p_up FROM (SELECT o_orderkey, o_totalprice % 6 - 1 AS x FROM orders)""")
 def probability_up(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") % 6 - 1).alias("x")).withColumn("q", F.array(*[F.lit(float(i)) for i in range(5)]))
@@ -778,6 +787,16 @@ def stream_daily_bars(spark, sf):
     return spark.table(name).withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
+@query("""SELECT user_id::VARCHAR AS key, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS revision_no, event_type AS content, ts AS at, CASE WHEN before IS NULL THEN 'new' ELSE 'revision' END AS status
+    FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""")
+def stream_revisions(spark, sf):
+    """Revisions of a stream of sightings, with state by key."""
+    source = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    name = f"stream_revisions_{uuid.uuid4().hex}"
+    flows.run(flows.revisions(source, "user_id", "event_type", "ts"), f"{shared_dir(spark)}/{name}", name=name).awaitTermination()
+    return spark.table(name).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query(f"SELECT decision_day, count(*) AS n FROM ({_fan('SELECT ts AS usable_at FROM events')}) GROUP BY 1")
 def decision_fan_out(spark, sf):
     e = table(spark, sf, "events").select(F.col("ts").alias("usable_at"))

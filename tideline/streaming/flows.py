@@ -7,16 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tideline.operators.merge import append_revisions
 from tideline.sources import sinks
 
 
+#: The state store that state by key needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def utc(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp") for n in names})
 
@@ -47,38 +51,102 @@ def first_seen(rows: DataFrame, keys: Sequence[str], at: str = "first_seen_at",
     return utc(rows, at).withWatermark(at, within).dropDuplicatesWithinWatermark([*keys])
 
 
-def _revise(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, number = state.get if state.exists else (None, -1)
-    rows = pd.concat(list(frames)).sort_values(["at", "content"])
-    out = []
-    for at, content in zip(rows["at"], rows["content"], strict=True):
-        if number < 0 or content != last:
-            number, last = number + 1, content
-            out.append((key[0], number, content, at, "new" if number == 0 else "revision"))
-    state.update((last, number))
-    yield pd.DataFrame(out, columns=["key", "revision_no", "content", "at", "status"])
+def keyed(df: DataFrame, key: str, processor: StatefulProcessor, output: str, mode: str) -> DataFrame:
+    """df by key through a processor with state of its own, which the state store keeps on disk, so it may outgrow memory."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return df.groupBy(key).transformWithStateInPandas(processor, output, mode, "None")
+
+
+class Revisions(StatefulProcessor):
+    """State of a key: the latest content and its number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "content string, number int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, number = self.latest.get() if self.latest.exists() else (None, -1)
+        got = pd.concat(list(rows)).sort_values(["at", "content"])
+        out = []
+        for at, content in zip(got["at"], got["content"], strict=True):
+            if number < 0 or content != last:
+                number, last = number + 1, content
+                out.append((key[0], number, content, at, "new" if number == 0 else "revision"))
+        self.latest.update((last, number))
+        yield pd.DataFrame(out, columns=["key", "revision_no", "content", "at", "status"])
+
+    def close(self) -> None:
+        pass
 
 
 def revisions(sightings: DataFrame, key: str, content: str, at: str) -> DataFrame:
     """(key, revision_no, content, at, status) of sightings whose content differs from their key's latest: state is a content and a number a key."""
     plain = utc(sightings.select(F.col(key).cast("string").alias("key"), F.col(content).cast("string").alias("content"), F.col(at).alias("at")), "at")
-    return plain.groupBy("key").applyInPandasWithState(_revise, "key string, revision_no int, content string, at timestamp, status string", "content string, number int", "append", GroupStateTimeout.NoTimeout)
+    return keyed(plain, "key", Revisions(), "key string, revision_no int, content string, at timestamp, status string", "Append")
 
 
-def _feed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    etag, modified, errors, last = state.get if state.exists else (None, None, 0, None)
-    for r in pd.concat(list(frames)).sort_values("at").itertuples():
-        if r.error is None or r.error != r.error:
-            etag, modified, errors, last = r.etag, r.modified, 0, None
-        else:
-            errors, last = errors + 1, r.error[:500]
-    state.update((etag, modified, errors, last))
-    yield pd.DataFrame([(key[0], etag, modified, errors, last)], columns=["feed_name", "etag", "modified", "error_count", "last_error"])
+class Feed(StatefulProcessor):
+    """State of a feed: what its last success said, and the errors since."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "etag string, modified string, errors int, last string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        etag, modified, errors, last = self.now.get() if self.now.exists() else (None, None, 0, None)
+        for r in pd.concat(list(rows)).sort_values("at").itertuples():
+            if r.error is None or r.error != r.error:
+                etag, modified, errors, last = r.etag, r.modified, 0, None
+            else:
+                errors, last = errors + 1, r.error[:500]
+        self.now.update((etag, modified, errors, last))
+        yield pd.DataFrame([(key[0], etag, modified, errors, last)], columns=["feed_name", "etag", "modified", "error_count", "last_error"])
+
+    def close(self) -> None:
+        pass
 
 
 def feed_state(runs: DataFrame) -> DataFrame:
     """State of each feed after every batch of runs(feed_name, at, etag, modified, error): a success resets, an error counts on."""
-    return runs.groupBy("feed_name").applyInPandasWithState(_feed, "feed_name string, etag string, modified string, error_count int, last_error string", "etag string, modified string, errors int, last string", "update", GroupStateTimeout.NoTimeout)
+    return keyed(runs, "feed_name", Feed(), "feed_name string, etag string, modified string, error_count int, last_error string", "Update")
+
+
+class Copies(StatefulProcessor):
+    """State of a key: the accepted vectors of the last ``keep`` days, in order of arrival."""
+
+    def __init__(self, threshold: float, keep: float):
+        self.threshold, self.keep = threshold, pd.Timedelta(days=keep)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getListState("accepted", "name string, at timestamp, vector array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values(["at", "name"])
+        held = [(n, pd.Timestamp(t), np.asarray(v, float)) for n, t, v in self.accepted.get()] if self.accepted.exists() else []
+        # what is too old for the first row of a batch is so for all
+        held = [h for h in held if h[1] >= got["at"].min() - self.keep]
+        matrix = np.array([h[2] for h in held])
+        out = []
+        for name, at, vector in zip(got["name"], got["at"], got["vector"], strict=True):
+            x = np.asarray(vector, float)
+            size = np.linalg.norm(x)
+            x = x / size if size else x
+            near = np.flatnonzero(matrix @ x >= self.threshold) if len(held) else []
+            near = [i for i in near if held[i][1] >= at - self.keep]
+            out.append((key[0], name, held[near[0]][0] if near else None))
+            if not near:
+                held.append((name, pd.Timestamp(at), x))
+                matrix = np.vstack([matrix, x]) if matrix.size else x[None]
+        if held:
+            self.accepted.put([(n, t.to_pydatetime(), v.tolist()) for n, t, v in held])
+        yield pd.DataFrame(out, columns=["key", "name", "duplicate_of"])
+
+    def close(self) -> None:
+        pass
+
+
+def copies(articles: DataFrame, key: str, name: str, vector: str, at: str, threshold: float = 0.87, keep_days: float = 7) -> DataFrame:
+    """(key, name, duplicate_of) of a stream: each row is a copy of the first accepted one of its key within ``keep_days`` that is so alike, or accepted."""
+    plain = utc(articles.select(F.col(key).cast("string").alias("key"), F.col(name).cast("string").alias("name"), F.col(vector).cast("array<double>").alias("vector"), F.col(at).alias("at")), "at")
+    return keyed(plain, "key", Copies(threshold, keep_days), "key string, name string, duplicate_of string", "Append")
 
 
 def run(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None, name: str | None = None, mode: str = "append", every: str | None = None) -> StreamingQuery:

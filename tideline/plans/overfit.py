@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def block_moments(returns: DataFrame, blocks: int, t: str = "t", trial: str = "trial", r: str = "r") -> DataFrame:
-    """(block, trial, n, s, q): count, sum and sum of squares of each trial in contiguous, even blocks of time. All later steps work on these few rows."""
+    """(block, trial, n, s, q): count, sum and sum of squares of each trial in contiguous, even blocks of time. All later steps work on these few rows.
+
+    The distinct times (days, mostly) are numbered in one task; whether they or the moments are broadcast is left to their size.
+    """
     times = returns.select(t).distinct().withColumn("block", F.ntile(blocks).over(Window.orderBy(t)) - 1)
-    return returns.join(F.broadcast(times), t).groupBy("block", F.col(trial).alias("trial")).agg(F.count(r).alias("n"), F.sum(r).alias("s"), F.sum(F.col(r) * F.col(r)).alias("q"))
+    return returns.join(times, t).groupBy("block", F.col(trial).alias("trial")).agg(F.count(r).alias("n"), F.sum(r).alias("s"), F.sum(F.col(r) * F.col(r)).alias("q"))
 
 
 def partitions(returns: DataFrame, blocks: int = 16, **columns: str) -> DataFrame:
@@ -21,7 +24,7 @@ def partitions(returns: DataFrame, blocks: int = 16, **columns: str) -> DataFram
     spark = returns.sparkSession
     rows = [(i, b, int(b in c)) for i, c in enumerate(combinations(range(blocks), blocks // 2)) for b in range(blocks)]
     choice = spark.createDataFrame(rows, "part int, block int, inside int")  # C(blocks, blocks / 2) * blocks rows
-    sums = choice.join(F.broadcast(block_moments(returns, blocks, **columns)), "block").groupBy("part", "trial", "inside").agg(*[F.sum(c).alias(c) for c in "nsq"])
+    sums = choice.join(block_moments(returns, blocks, **columns), "block").groupBy("part", "trial", "inside").agg(*[F.sum(c).alias(c) for c in "nsq"])
     var = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
     sr = F.when(var > 1e-18, F.col("s") / F.col("n") / F.sqrt(var)).otherwise(F.lit(0.0))
     # equal trials must tie although their sums may differ in the last bits

@@ -790,11 +790,12 @@ def stream_daily_bars(spark, sf):
 @query("""SELECT user_id::VARCHAR AS key, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS revision_no, event_type AS content, ts AS at, CASE WHEN before IS NULL THEN 'new' ELSE 'revision' END AS status
     FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""")
 def stream_revisions(spark, sf):
-    """Revisions of a stream of sightings, with state by key."""
+    """Revisions of a stream of sightings, with state by key, into a table in the shared folder."""
     source = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    name = f"stream_revisions_{uuid.uuid4().hex}"
-    flows.run(flows.revisions(source, "user_id", "event_type", "ts"), f"{shared_dir(spark)}/{name}", name=name).awaitTermination()
-    return spark.table(name).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = flows.revisions(source, "user_id", "event_type", "ts", "event_id")
+    to = f"{shared_dir(spark)}/stream_revisions_{uuid.uuid4().hex}"
+    flows.run(got, f"{to}/state", path=f"{to}/rows").awaitTermination()
+    return spark.read.schema(got.schema).parquet(f"{to}/rows").withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query(f"SELECT decision_day, count(*) AS n FROM ({_fan('SELECT ts AS usable_at FROM events')}) GROUP BY 1")

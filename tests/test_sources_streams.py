@@ -279,3 +279,25 @@ def test_stream_revisions_stand_in_files(spark, tmp_path):
     df, have, want = against_sql("stream_revisions", spark, tmp_path, {"events": events})
     assert df.inputFiles()
     assert have == want and len(have[1]) == 9
+
+
+def test_headlines_as_in_sql(spark, tmp_path):
+    """Crypto words, names, ids of hexadecimal letters, too few words and near copies in the order of their URLs."""
+    said = {
+        0: "one two three four", 350: "one two three four apple", 2: "apple pear", 14: "red green decade", 16: "facade blue facade",
+        1: "the token of a mining house", 3: "Visa and Fidelity in May", 7: "bitcoin falls again now", 5: "Tesla İstanbul rises fast", 8: None, 9: "decade token decade mining decade",
+    }
+    documents = spark.createDataFrame([(i, t) for i, t in said.items()], "doc_id long, text string")
+    pages = spark.createDataFrame([(1, "https://a.example/x")], "page_id long, url string")
+    _, have, want = against_sql("headlines", spark, tmp_path, {"documents": documents, "pages": pages})
+    assert have == want and len(have[1]) == 6
+
+
+def test_headlines_are_told_apart_and_anonymous(spark):
+    """Without a slug or kind given, the URL's words say both, and names are taken out."""
+    from tideline.operators import regime
+
+    urls = [(1, f"https://a.example/{s}.html", n) for s, n in (("bitcoin-miners-sell-more", 3), ("visa-and-fidelity-report-gains", 2), ("bitcoin-miners-sell-more-now", 1))]
+    got = regime.headlines(spark.createDataFrame(urls, "day int, url string, n_themes int")).orderBy("position").collect()
+    assert [(r["kind"], r["position"]) for r in got] == [("crypto", 0), ("macro", 1)]
+    assert got[0]["headline"] == "bitcoin miners sell more" and "fidelity" not in got[1]["headline"]

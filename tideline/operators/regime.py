@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import text
@@ -42,14 +42,14 @@ def run_lengths(states: DataFrame, state: str, day: str, by: Sequence[str] = ())
     return W.islands(states, state, by, day).groupBy(*by, "run").agg(F.first(state).alias("value"), F.count("*").alias("length"))
 
 
-def headlines(pages: DataFrame, day: str = "day", url: str = "url", rank: str = "n_themes") -> DataFrame:
-    """(day, kind, position, headline): the first stories of a day by rank, near copies left out, names and dates taken out.
+def headlines(pages: DataFrame, day: str = "day", url: str = "url", rank: str = "n_themes", slug: Column | None = None, crypto: Column | None = None, anonymous: bool = True) -> DataFrame:
+    """(day, kind, position, headline): the first stories of a day by rank, then URL, near copies left out, names and dates taken out if ``anonymous``.
 
-    Slugs, kinds and word sets are column expressions. The choice itself depends on what was chosen before, so
+    ``slug``, of the columns day and url, and ``crypto``, of these and slug, say what the story is where the URL's own words don't. Slugs, kinds and word sets are column expressions. The choice itself depends on what was chosen before, so
     a day's rows, cut to distinct slugs, are gone through in one task.
     """
     slugs = pages.select(day, F.col(url).alias("url"), rank).groupBy(day, "url").agg(F.max(rank).alias(rank))
-    slugs = slugs.withColumn("slug", text.slug(F.col("url"))).where("slug is not null").withColumn("crypto", text.is_crypto(F.col("slug")))
+    slugs = slugs.withColumn("slug", text.slug(F.col("url")) if slug is None else slug).where("slug is not null").withColumn("crypto", text.is_crypto(F.col("slug")) if crypto is None else crypto)
     kind = slugs.schema[day].dataType.simpleString()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -66,7 +66,8 @@ def headlines(pages: DataFrame, day: str = "day", url: str = "url", rank: str =
         return pd.DataFrame(out, columns=[day, "kind", "position", "slug"])
 
     chosen = slugs.groupBy(day).applyInPandas(choose, f"{day} {kind}, kind string, position int, slug string")
-    return chosen.select(day, "kind", "position", text.anonymise(F.col("slug"))["text"].alias("headline"))
+    said = text.anonymise(F.col("slug"))["text"] if anonymous else F.col("slug")
+    return chosen.select(day, "kind", "position", said.alias("headline"))
 
 
 def prompt(chosen: DataFrame, day: str = "day") -> DataFrame:

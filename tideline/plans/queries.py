@@ -683,7 +683,8 @@ NEWS_URLS = r"""SELECT page_id AS id, 'page' AS kind, url FROM pages UNION ALL S
 
 
 def news_urls(spark, sf) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda x: x != ""), 1, 9)
+    # a capital I with a dot is one letter to the SQL, two to Spark
+    words = F.slice(F.filter(F.split(F.lower(F.translate(F.coalesce("text", F.lit("")), "\u0130", "i")), "[^a-z]+"), lambda x: x != ""), 1, 9)
     made = F.concat(F.lit("https://a.example.org/2021/07/"), F.array_join(words, "-"), F.lit("-"), (F.col("doc_id") + 100000).cast("string"), F.lit(".html"))
     return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("kind"), "url").unionAll(table(spark, sf, "documents").select("doc_id", F.lit("news"), made))
 
